@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from structmill.llm import p2_top_items, p6_leakage
+from structmill.llm import p2_top_items, p6_leakage, p8_truncation
 
-_MODULES = (p2_top_items, p6_leakage)
+_MODULES = (p2_top_items, p6_leakage, p8_truncation)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
