@@ -24,7 +24,7 @@ binop : '>'+ '='? | BIN
 unit : pre* prim post* | 'yield'
 pre : PRE | 'yield' '*'?
 prim : arrow | fn | cls | 'new' ( '.' ID | unit ) | 'import' ( P.ARGS | '.' ID ) | name | CONSTANT | NUM | STR | TPL | P.SEQ | A.ARR | B.OBJ
-arrow : 'async'? ( generics? P.PARAMS ret? | name ) '=>' ( B.BLOCK | expr )
+arrow : 'async'? ( generics? P.PARAMS ret? | name ) '=>' ( B.BLOCK | !( B.OBJ ) expr )
 fn : 'async'? 'function' '*'? name? generics? P.PARAMS ret? B.BLOCK
 cls : deco* 'class' name? generics? ( 'extends' unit generics? )? ( 'implements' type ( ',' type )* )? B.CLASS
 deco : '@' ( name ( '.' ID )* P.ARGS? | P.SEQ ) NL?
@@ -41,7 +41,7 @@ stmt : B.BLOCK | typed | fn | cls
   | 'import' typeword? ( STR | imported 'from' STR ) ( 'with' B.OBJ )? end
   | 'export' exported
   | name ':' NL? stmt
-  | seq end
+  | !( B.OBJ ) seq end
   | ';'
 imported : '*' 'as' name | B.IMPORTS | name ( ',' ( B.IMPORTS | '*' 'as' name ) )?
 exported : 'default' ( fn | cls | typed | expr end ) | '*' ( 'as' word )? 'from' STR end | typeword? B.IMPORTS ( 'from' STR )? end | '=' expr end | stmt
