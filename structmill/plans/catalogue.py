@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from structmill.plans import graph_keys
+from structmill.plans import graph_keys, repository
 
-_MODULES = (graph_keys,)
+_MODULES = (graph_keys, repository)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
-FLAGSHIP = graph_keys.p1_found
+FLAGSHIP = repository.directory_profile

@@ -6,17 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structmill.functions.paths import normal_path
+from structmill.operators.graph import edges_once
 from structmill.operators.keyed_blocks import key_totals
-from structmill.operators.latest import latest
 from structmill.sources.tables import cut, table
 
 
-def edges_once(edges: DataFrame) -> DataFrame:
-    """Each edge_id once, as its latest scan has it, its target in one spelling. Partitioned by edge_id."""
-    spelled = edges.select("edge_id", "repo", normal_path(F.col("target")).alias("target"), "kind", "line", "confidence", "scanned_at")
-    return latest(spelled, "edge_id", [F.col("scanned_at")], ["repo", "target", "kind", "line", "confidence"])
-
-
 def edge_keys(spark: SparkSession, data_dir: str) -> DataFrame:
     """Per repo, target and kind: edges, the confidence (sum in thousandths, least, greatest), first and last line."""
     edges = edges_once(table(spark, data_dir, "graph_edges")).where(F.col("target").isNotNull())
