@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from structmill.plans import extraction, graph_keys, repository
+from structmill.plans import documents, extraction, graph_keys, repository
 
-_MODULES = (graph_keys, repository, extraction)
+_MODULES = (graph_keys, repository, extraction, documents)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -74,10 +74,10 @@ def dominant_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 def directory_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Rank of each directory in its repository by incoming edges, then path."""
+    """The hundred directories of each repository with most incoming edges, ties by path."""
     profile = graph.directory_edges(_files(spark, d), _pairs(spark, d))
     rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.col("incoming_edges").desc(), "directory"))
-    return profile.select("repo", "directory", "incoming_edges", rank.alias("rank"))
+    return profile.select("repo", "directory", "incoming_edges", rank.alias("rank")).where("rank <= 100")
 
 
 def symbol_popularity(spark: SparkSession, d: str) -> DataFrame:
@@ -268,7 +268,7 @@ SQL = {
         b AS (SELECT *, row_number() OVER (PARTITION BY repo, directory ORDER BY files DESC, language) AS k FROM c),
         x AS (SELECT *, row_number() OVER (PARTITION BY repo, directory, language ORDER BY coalesce(symbol_count, 0) DESC, path) AS k FROM f)
         SELECT b.repo, b.directory, b.language, b.files, x.path AS example FROM b JOIN x ON x.repo = b.repo AND x.directory = b.directory AND x.language = b.language AND x.k = 1 WHERE b.k = 1 AND b.files >= 3""",
-    "directory_ranking": f"WITH {_F}, {_E}, {_P}, {_D} SELECT repo, directory, incoming_edges, row_number() OVER (PARTITION BY repo ORDER BY incoming_edges DESC, directory) AS rank FROM x",
+    "directory_ranking": f"WITH {_F}, {_E}, {_P}, {_D} SELECT * FROM (SELECT repo, directory, incoming_edges, row_number() OVER (PARTITION BY repo ORDER BY incoming_edges DESC, directory) AS rank FROM x) WHERE rank <= 100",
     "symbol_popularity": """WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY scanned_at DESC NULLS LAST) AS n FROM symbol_refs) WHERE n = 1),
         s AS (SELECT repo, path, symbol, CAST(sum(ref_count) AS BIGINT) AS refs, CAST(coalesce(sum(ref_count) FILTER (kind = 'import'), 0) AS BIGINT) AS imports,
             CAST(coalesce(sum(ref_count) FILTER (kind = 'call'), 0) AS BIGINT) AS calls FROM r GROUP BY ALL)
