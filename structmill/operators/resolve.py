@@ -41,7 +41,7 @@ def _bases(module: Column, importer: Column) -> Column:
     here = F.split(parent_dir(importer, ""), "/")
     here = F.filter(here, lambda x: x != "")
     dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
-    is_path = module.contains("/") | module.isin(".", "..")
+    is_path = module.contains("/")
     ups = F.when(is_path, F.size(F.regexp_extract_all(module, F.lit(r"\G(\.\./)"), F.lit(1)))).otherwise(dots - 1)
     kept = F.slice(here, 1, F.greatest(F.size(here) - ups, F.lit(0)))
     rest = F.when(is_path, F.regexp_replace(F.regexp_replace(module, r"^(?:\.\./)+", ""), r"^\./", "")).otherwise(F.translate(F.regexp_replace(module, r"^\.+", ""), ".", "/"))

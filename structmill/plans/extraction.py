@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from structmill.extract import extract_files
 from structmill.functions import paths, text
 from structmill.operators import resolve
 from structmill.operators.latest import latest
+from structmill.sources.scan import scan
 from structmill.sources.tables import table
 
 #: Packages of standard libraries that are no dependency; fixed values.
@@ -158,11 +160,41 @@ def invalid_extractions(spark: SparkSession, d: str) -> DataFrame:
     return files.select(F.explode(broken).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("files"))
 
 
+def extracted_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols extracted from the raw content."""
+    symbols = extract_files(_sources(spark, d)).select("file_id", F.explode("symbols").alias("s")).select("file_id", "s.*")
+    return symbols.select("file_id", "name", "kind", "line_start", "line_end", "signature", "visibility", "parent", "docstring", "return_type")
+
+
+def extracted_references(spark: SparkSession, d: str) -> DataFrame:
+    """Imports, exports and calls extracted from the raw content, counted per file and kind."""
+    files = extract_files(_sources(spark, d))
+    parts = [files.select("file_id", F.lit(kind).alias("relation"), F.size(column).cast("bigint").alias("n")) for kind, column in (("imports", "imports"), ("exports", "exports"), ("calls", "call_edges"), ("comments", "rationale_comments"))]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.where("n > 0")
+
+
+def extraction_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Per language: recorded symbols, and those that a fresh extraction finds under the same name and kind."""
+    recorded = _files(spark, d, "symbols").select("file_id", paths.suffix(F.col("file_path")).alias("suffix"), F.explode("symbols").alias("s")).select("file_id", "suffix", "s.name", "s.kind").distinct()
+    fresh = extracted_symbols(spark, d).select(F.col("file_id").alias("x_id"), F.col("name").alias("x_name"), F.col("kind").alias("x_kind")).distinct()
+    met = recorded.join(fresh, (F.col("file_id") == F.col("x_id")) & (F.col("name") == F.col("x_name")) & (F.col("kind") == F.col("x_kind")), "left")
+    return met.groupBy("suffix").agg(F.count(F.lit(1)).alias("recorded"), F.count("x_id").alias("found"))
+
+
+def incremental_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A scan that takes what the stored extractions still hold; files per repository and origin."""
+    rows = scan(_sources(spark, d), table(spark, d, "files"), CURRENT_EXTRACTOR)
+    return rows.groupBy("repo", "from_store").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size("symbols")).cast("bigint").alias("symbols"), F.count_if(F.size("extraction_errors") > 0).alias("with_errors"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         public_symbols, long_functions, symbol_kinds, import_counts, external_packages, import_resolution, import_edges, imported_calls, local_calls, rationale, tagged_comments, line_counts,
-        cache_probe, cache_stats, scan_report, invalid_extractions,
+        cache_probe, cache_stats, scan_report, invalid_extractions, extracted_symbols, extracted_references, extraction_agreement, incremental_scan,
     )
 }
 
