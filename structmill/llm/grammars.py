@@ -23,7 +23,7 @@ expr : unit ( binop unit )* ( '?' expr ':' expr )?
 binop : '>'+ '='? | BIN
 unit : pre* prim post* | 'yield'
 pre : PRE | 'yield' '*'?
-prim : arrow | fn | cls | 'new' ( '.' ID | unit ) | 'import' ( P.ARGS | '.' ID ) | name | CONSTANT | NUM | STR | TPL | P.SEQ | A.ARR | B.OBJ
+prim : arrow | fn | cls | 'new' ( '.' ID | unit ) | 'import' ( P.ARGS | '.' ID ) | name | CONSTANT | NUM | STR | TPL | P.SEQ | A.ARR | B.OBJ | generics unit
 arrow : 'async'? ( generics? P.PARAMS ret? | name ) '=>' ( B.BLOCK | !( B.OBJ ) expr )
 fn : 'async'? 'function' '*'? name? generics? P.PARAMS ret? B.BLOCK
 cls : deco* 'class' name? generics? ( 'extends' unit generics? )? ( 'implements' type ( ',' type )* )? B.CLASS
@@ -69,7 +69,7 @@ _TYPES = """
 ret : ':' type
 bang : '!'
 optional : '?'
-cast : ( 'as' | 'satisfies' ) type
+cast : ( 'as' | 'satisfies' ) ( 'const' | type )
 typeword : 'type'
 modword : PARMODS
 body : B.BLOCK | end
@@ -229,7 +229,7 @@ p_for : ( mods type vars | exprs )? ';' expr? ';' exprs? | mods type name ':' ex
 p_res : res ( ';' res )* ';'?
 res : mods type name '=' expr | expr
 p_catch : mods type ( '|' type )* name
-b_switch : ( label stmt* )* | ( arm )*
+b_switch : ( label stmt* )+ | arm*
 label : ( 'case' cases ( 'when' expr )? | 'default' ) ':'
 arm : ( 'case' cases ( 'when' cexpr )? | 'default' ) '->' ( B.BLOCK | 'throw' expr ';' | expr ';' )
 cases : casex ( ',' casex )*

@@ -60,7 +60,7 @@ _MARK = r"@(?!interface\b)[\w.]+(?:\s*(?&round))?"
 JAVA = regex.compile(
     _nesting(rf'"""(?:[^\\]|\\.)*?"""|{_STRINGS}', _NOTES)
     + rf"""(?P<doc>/\*\*(?!/)(?:(?!\*/).)*+\*/)(?:\s|//[^\n]*|/\*(?!\*).*?\*/)*+
-    (?P<sig>(?:(?:{_MARK}|public|private|protected|static|final|abstract|synchronized|native|strictfp|default)\b?\s*)*+(?:(?&angle)\s*)?
+    (?P<sig>(?:(?:{_MARK}|(?:public|private|protected|static|final|abstract|synchronized|native|strictfp|default)\b|//[^\n]*|/\*.*?\*/)\s*)*+(?:(?&angle)\s*)?
         (?:(?!(?:new|return|throw|else|class|interface|enum|record)\b)[\w.]+(?:\s*(?&angle))?(?:\.\w+)*(?:\s*(?:{_MARK}\s*)?\[\s*\])*\s+)?(?!(?:if|for|while|switch|catch|try|synchronized)\b)(?P<name>\w+)\s*(?&round)\s*
         (?:\[\s*\]\s*)*(?:throws\s+[\w.,\s<>@]+?)?\s*(?=(?&curly)))
     | {_NOTES} | \"\"\"(?:[^\\]|\\.)*?\"\"\" | {_STRINGS}""",
@@ -80,7 +80,7 @@ _RUST_ATTR = r"\#!?\s*(?&square)"
 RUST = regex.compile(
     _nesting(_RUST_STRINGS, _NOTES)
     + rf"""(?P<doc>(?:(?:///(?!/)[^\n]*(?:\n|\Z)|/\*\*(?![*/])(?:(?!\*/).)*+\*/|{_RUST_ATTR}|//(?![/!])[^\n]*|////[^\n]*|/\*(?![*!]).*?\*/|/\*\*\*.*?\*/)\s*)++)?+
-    (?P<sig>(?:pub\b\s*(?&round)?\s*)?(?:default\s+)?(?:(?:const|async|unsafe|extern(?:\s*"[^"]*")?)\s+)*fn\s+(?P<name>(?:r\#)?\w+)\s*(?&angle)?\s*(?&round)\s*(?:->(?:[^{{}};"]|(?&curly)(?=\s*[>\],]))+?)?(?:\bwhere\b[^{{}};]*)?\s*(?=(?P<body>(?&curly))))
+    (?P<sig>(?:pub\b\s*(?&round)?\s*)?(?:default\s+)?(?:(?:const|async|unsafe|extern(?:\s*"[^"]*")?)\s+)*fn\s+(?P<name>(?:r\#)?\w+)\s*(?&angle)?\s*(?&round)\s*(?:->(?:[^{{}};"\[]|(?&square)|(?&curly)(?=\s*[>\],]))+?)?(?:\bwhere\b[^{{}};]*)?\s*(?=(?P<body>(?&curly))))
     | (?P<skip>///[^\n]*|{_NOTES}|{_RUST_ATTR}) | {_RUST_STRINGS}""",
     regex.S | regex.X,
 )

@@ -8,6 +8,10 @@ from structmill.llm.grammars import grammar
 from structmill.llm.lexing import LANGUAGES, tokens
 
 
+#: Stands for tokens that no rule names.
+_OTHER = "\ue00f"
+
+
 def language_of(path: str | None) -> str | None:
     """The language that the suffix of a path stands for, None for other suffixes; TSX is a kind of its own."""
     suffix = "." + (path or "").rsplit("/", 1)[-1].rpartition(".")[2].lower()
@@ -35,8 +39,5 @@ def valid(text: str, language: str) -> bool:
         if t in "()[]{}":
             chars.append(t)
         else:
-            c = known.chars.get(t)
-            if c is None:
-                return False
-            chars.append(c)
+            chars.append(known.chars.get(t, _OTHER))
     return all(c == "\n" for c in chars) or known.valid(chars)
