@@ -52,7 +52,7 @@ def tables(spark, docs, tasks):
 
 def test_job(spark):
     w = words(TASK)
-    docs = [(1, f"before {TASK} after"), (2, " ".join(w[:6]) + " gap " + " ".join(w[6:])), (3, ""), (4, None), (None, TASK), (5, " ".join(w[2:13])), (1, f"before {TASK} after"), (6, "x " * 200000 + TASK), (7, "Other words. " + TASK)]
+    docs = [(1, f"before {TASK} after"), (2, " ".join(w[:9]) + " gap " + " ".join(w[9:])), (3, ""), (4, None), (None, TASK), (5, " ".join(w[2:13])), (1, f"before {TASK} after"), (6, "x " * 200000 + TASK), (7, "Other words. " + TASK)]
     tasks = [(10, "f", "e", TASK, None), (11, "f", "e", None, "Other words. " + TASK), (12, "f", "e", "", ""), (13, "f", "e", None, None), (10, "f", "e", TASK, None), (14, "f", "e", " ".join(w[:8]), " ".join(w[8:]))]
     d, t = tables(spark, docs, tasks)
     want = {(1, 10), (1, 11), (6, 10), (6, 11), (7, 10), (7, 11)}
