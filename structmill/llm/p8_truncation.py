@@ -63,10 +63,18 @@ def endings(documents: DataFrame) -> DataFrame:
         F.col("t").rlike("\\uFFFD$").alias("broken"),
         F.regexp_replace("t", r"(?s)^.*\n\s*\n", "").alias("p"),
     )
-    line = F.regexp_replace(F.col("p"), r"(?s)^.*\n", "")
-    before = F.regexp_extract("p", r"(?s)(?:^|\n)([^\n]*)\n[^\n]*$", 1)
-    body = F.regexp_replace("p", r"(?s)```.*?```", "")
-    tokens = _tokens(F.regexp_replace("p", "\\uFFFD+$", ""))
+    # each part once: they are looked at many times
+    parts = last.select(
+        "doc_id",
+        "fence",
+        "broken",
+        "p",
+        F.regexp_replace("p", r"(?s)^.*\n", "").alias("line"),
+        F.regexp_extract("p", r"(?s)(?:^|\n)([^\n]*)\n[^\n]*$", 1).alias("before"),
+        F.regexp_replace("p", r"(?s)```.*?```", "").alias("body"),
+        _tokens(F.regexp_replace("p", "\\uFFFD+$", "")).alias("tokens"),
+    )
+    line, before, body, tokens = (F.col(c) for c in ("line", "before", "body", "tokens"))
     row = line.startswith("|")
     opened = (
         (_count(body, "`") % 2 == 1)
@@ -89,7 +97,7 @@ def endings(documents: DataFrame) -> DataFrame:
         | (F.col("p").startswith("(") & line.endswith(")"))
         | line.rlike(r"^\S*[/\\]\S*\.\w+$")  # a path alone
     )
-    return last.select(
+    return parts.select(
         "doc_id",
         "fence",
         "broken",
@@ -111,7 +119,7 @@ def truncated(documents: DataFrame, least_inside: int = LEAST_INSIDE, most_at_en
     once; a document is cut if any row of it is.
     """
     counts = cut(trigram_counts(documents.where(F.col("text").isNotNull()).select("text")))
-    ends = endings(documents)
+    ends = cut(endings(documents))
     unsettled = ends.where(~F.col("fence") & ~F.col("broken") & ~F.col("opened") & (~F.col("closed") | F.col("dots")))
     tails = unsettled.select("ab", "c").distinct()
     near = counts.withColumnsRenamed({"ab": "n_ab", "c": "n_c"})
