@@ -15,11 +15,15 @@ def files_once(file_infos: DataFrame) -> DataFrame:
     return latest(file_infos, ["repo", "path"], [F.col("scanned_at")], keep)
 
 
-def edges_once(graph_edges: DataFrame) -> DataFrame:
-    """Each edge_id once, as its latest scan has it, both ends in one spelling. Partitioned by edge_id."""
-    ends = [normal_path(F.col(c)).alias(c) for c in ("source", "target")]
-    spelled = graph_edges.select("edge_id", "repo", *ends, "kind", "detail", "line", "confidence", "scanned_at")
-    return latest(spelled, "edge_id", [F.col("scanned_at")], ["edge_id", "repo", "source", "target", "kind", "detail", "line", "confidence"])
+def edges_once(graph_edges: DataFrame, *columns: str) -> DataFrame:
+    """Each edge_id once, as its latest scan has it, both ends in one spelling. Partitioned by edge_id.
+
+    Only the named columns (all without names) take part, also in breaking ties: less to shuffle.
+    """
+    keep = list(columns) or ["edge_id", "repo", "source", "target", "kind", "detail", "line", "confidence"]
+    spelled = {c: normal_path(F.col(c)) for c in ("source", "target") if c in keep}
+    rows = graph_edges.select("edge_id", *[spelled.get(c, F.col(c)).alias(c) for c in keep if c != "edge_id"], "scanned_at")
+    return latest(rows, "edge_id", [F.col("scanned_at")], keep)
 
 
 def degrees(files: DataFrame, edges: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ from structmill.sources.tables import table
 GENERATED_DIRS = "generated gen __generated__ migrations build dist out target node_modules vendor .next coverage static".split()
 TEST_DIRS = "test tests spec __tests__ testing".split()
 GRAPH_TEST_DIRS = "test tests spec specs".split()
-ENTRY_STEMS = "main app index server cli __main__ manage wsgi".split()
+ENTRY_STEMS = "main app index server cli __main__ manage wsgi module ledger signal".split()
+#: The directories of the slice that slice_files and slice_edges report.
+SLICE = ["src/shared", "tests"]
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +137,7 @@ def tested_sources(spark: SparkSession, d: str) -> DataFrame:
 
 def entry_points(spark: SparkSession, d: str) -> DataFrame:
     """The ten files of each repository with an entry-point stem, by degree."""
-    files = _files(spark, d).where(paths.stem(F.col("path")).isin(ENTRY_STEMS + ["module", "ledger", "signal"]))
+    files = _files(spark, d).where(paths.stem(F.col("path")).isin(ENTRY_STEMS))
     deg = graph.degrees(files, _edges(spark, d)).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
     rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.col("degree").desc(), "path"))
     return deg.select("repo", "path", "degree", rank.alias("rank")).where("rank <= 10")
@@ -177,19 +179,15 @@ def name_patterns(spark: SparkSession, d: str) -> DataFrame:
     return files.groupBy("repo", "directory", shape.alias("shape")).agg(F.count(F.lit(1)).alias("files")).where("files >= 3")
 
 
-def _slice(spark: SparkSession, d: str) -> list[str]:
-    return ["src/shared", "tests"]
-
-
 def slice_files(spark: SparkSession, d: str) -> DataFrame:
     """Files of a slice given by directories or paths: any ancestor equals one of them."""
-    wanted = F.array(*[F.lit(x) for x in _slice(spark, d)])
+    wanted = F.array(*[F.lit(x) for x in SLICE])
     return _files(spark, d).where(F.arrays_overlap(paths.ancestors(F.col("path")), wanted)).select("repo", "path", "language", F.coalesce("symbol_count", F.lit(0)).alias("symbol_count"))
 
 
 def slice_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges of the slice per repository and side (internal, outgoing, incoming) and other directory."""
-    wanted = F.array(*[F.lit(x) for x in _slice(spark, d)])
+    wanted = F.array(*[F.lit(x) for x in SLICE])
     s = F.arrays_overlap(paths.ancestors(F.col("source")), wanted)
     t = F.arrays_overlap(paths.ancestors(F.col("target")), wanted)
     side = F.when(s & t, "internal").when(s, "outgoing").when(t, "incoming")
@@ -237,7 +235,7 @@ def _gt(path: str) -> str:
 
 
 _ANC = "list_transform(range(1, len(string_split({0}, '/')) + 1), lambda n: array_to_string(list_slice(string_split({0}, '/'), 1, n), '/'))"
-_SLICED = "list_has_any(" + _ANC + ", ['src/shared', 'tests'])"
+_SLICED = "list_has_any(" + _ANC + f", {SLICE})"
 
 QUERIES = {
     q.__name__: q
@@ -286,7 +284,7 @@ SQL = {
         WHERE t.bare <> '' AND coalesce(b.source, n.source) IS NOT NULL""",
     "tested_sources": f"WITH {_E} SELECT DISTINCT repo, source, target FROM e WHERE kind <> 'calls' AND {_gt('source')} AND NOT {_gt('target')}",
     "entry_points": f"""WITH {_F}, {_E}, n AS (SELECT repo, source AS path FROM e UNION ALL SELECT repo, target FROM e), g AS (SELECT repo, path, count(*) AS n FROM n GROUP BY ALL),
-        c AS (SELECT f.repo, f.path, coalesce(g.n, 0) AS degree FROM f LEFT JOIN g USING (repo, path) WHERE {_in(_STEM.format('f.path'), [*ENTRY_STEMS, 'module', 'ledger', 'signal'])})
+        c AS (SELECT f.repo, f.path, coalesce(g.n, 0) AS degree FROM f LEFT JOIN g USING (repo, path) WHERE {_in(_STEM.format('f.path'), ENTRY_STEMS)})
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY degree DESC, path) AS rank FROM c) WHERE rank <= 10""",
     "path_parts": rf"""WITH {_F} SELECT repo, path, {_PARENT.format('path')} AS parent, {_LAST.format('path')} AS name, {_STEM.format('path')} AS stem, {_SUFFIX.format('path')} AS suffix,
         regexp_replace(path, '^(.*[^/])\.[^./]+$', '\1') AS bare,
