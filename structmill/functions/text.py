@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Tags that open a rationale comment; fixed values.
 TAGS = ("WHY", "NOTE", "IMPORTANT", "HACK", "TODO", "FIXME")
 #: Words that say nothing about a task; fixed values.
-STOP_WORDS = "the and for with from that this into when are has have was were will its new how add all any not use".split()
+STOP_WORDS = "a an the add new create update delete remove get set find list change modify in to for of from with on at by".split()
 _TAG = r"(?i)^\s*(?:#|//|/\*|\*)\s*(WHY|NOTE|IMPORTANT|HACK|TODO|FIXME)\s*:\s*(.+?)(?:\*/)?\s*$"
 
 

@@ -13,7 +13,7 @@ from structmill.functions.paths import parent_dir, stem, suffix, without_suffix
 
 #: Suffixes tried in this order, and index files; fixed values.
 SUFFIXES = ("", ".py", ".js", ".jsx", ".mjs", ".ts", ".tsx", ".go", ".java", ".rs")
-INDEX_FILES = ("/index.js", "/index.ts", "/index.tsx", "/index.jsx", "/__init__.py")
+INDEX_FILES = ("/index.js", "/index.ts", "/index.tsx", "/__init__.py")
 
 
 def module_keys(files: DataFrame) -> DataFrame:

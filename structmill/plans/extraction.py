@@ -13,7 +13,11 @@ from structmill.sources.scan import scan
 from structmill.sources.tables import table
 
 #: Packages of standard libraries that are no dependency; fixed values.
-STDLIB = "os sys re json math typing collections itertools functools pathlib logging time datetime abc io java javax std core alloc fs path util".split()
+STDLIB = (
+    "os sys json typing pathlib datetime collections dataclasses abc enum re logging hashlib functools itertools io time math random copy uuid base64 urllib http email html xml csv "
+    "contextlib inspect importlib pkgutil threading multiprocessing asyncio concurrent subprocess shutil tempfile glob fnmatch struct codecs string textwrap unicodedata socket ssl select "
+    "signal warnings traceback types operator secrets __future__ builtins"
+).split()
 #: Spellings of languages; fixed values.
 LANGUAGE_NAMES = {"js": "javascript", "ts": "typescript", "rs": "rust", "golang": "go", "py": "python"}
 CURRENT_EXTRACTOR = "7c22e90d51aa83f6"

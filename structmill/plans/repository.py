@@ -11,10 +11,11 @@ from structmill.operators.latest import latest
 from structmill.sources.tables import table
 
 #: Directory names, fixed values.
-GENERATED_DIRS = "generated gen __generated__ migrations build dist out target node_modules vendor .next coverage static".split()
+GENERATED_DIRS = "migrations versions vendor node_modules dist build __pycache__ .cache generated gen static assets public".split()
 TEST_DIRS = "test tests spec __tests__ testing".split()
-GRAPH_TEST_DIRS = "test tests spec specs".split()
-ENTRY_STEMS = "main app index server cli __main__ manage wsgi module ledger signal".split()
+GRAPH_TEST_DIRS = "tests test spec specs".split()
+#: Stems of entry points, fixed values.
+ENTRY_STEMS = "main app __main__ index server cli wsgi asgi".split()
 #: The directories of the slice that slice_files and slice_edges report.
 SLICE = ["src/shared", "tests"]
 
@@ -34,7 +35,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 def directory_profile(spark: SparkSession, d: str) -> DataFrame:
     """Directories with at least two files: counts, edges, density, flags."""
     profile = graph.directory_edges(_files(spark, d), _pairs(spark, d))
-    last = F.element_at(F.split("directory", "/"), -1)
+    last = F.lower(F.element_at(F.split("directory", "/"), -1))
     return profile.where("file_count >= 2").select("*", last.isin(TEST_DIRS).alias("is_test"), last.isin(GENERATED_DIRS).alias("is_auto_generated"))
 
 
@@ -113,7 +114,7 @@ def test_flags(spark: SparkSession, d: str) -> DataFrame:
     stem, name = F.lower(paths.stem(F.col("path"))), F.lower(paths.file_name(F.col("path")))
     six = F.array(*[F.lit(x) for x in [*GRAPH_TEST_DIRS, "__tests__", "testing"]])
     context = F.arrays_overlap(F.split(F.lower("path"), "/"), six) | stem.startswith("test") | stem.endswith("_test") | stem.endswith("_spec") | name.contains(".test.") | name.contains(".spec.")
-    return files.select("repo", "path", _graph_test(F.col("path")).alias("graph_test"), F.element_at(F.split("directory", "/"), -1).isin(TEST_DIRS).alias("profile_test"), context.alias("context_test"))
+    return files.select("repo", "path", _graph_test(F.col("path")).alias("graph_test"), F.lower(F.element_at(F.split("directory", "/"), -1)).isin(TEST_DIRS).alias("profile_test"), context.alias("context_test"))
 
 
 def naming_test_map(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +167,7 @@ def module_index(spark: SparkSession, d: str) -> DataFrame:
 
 def size_tier(spark: SparkSession, d: str) -> DataFrame:
     """Repositories by files: small, medium, large, very large; and whether they are to be decomposed."""
-    flagged = _files(spark, d).withColumn("own", ~F.element_at(F.split("directory", "/"), -1).isin(GENERATED_DIRS))
+    flagged = _files(spark, d).withColumn("own", ~F.lower(F.element_at(F.split("directory", "/"), -1)).isin(GENERATED_DIRS))
     n = F.count(F.lit(1))
     tier = F.when(n < 150, "small").when(n < 800, "medium").when(n < 2000, "large").otherwise("very_large")
     return flagged.groupBy("repo").agg(n.alias("files"), tier.alias("tier"), (F.count_if("own") >= 50).alias("decompose"))
@@ -223,6 +224,7 @@ def _in(column: str, names: list[str]) -> str:
 
 
 _LAST = "list_last(string_split({0}, '/'))"
+_LAST_DIR = "lower(list_last(string_split(directory, '/')))"
 _STEM = r"regexp_replace(list_last(string_split({0}, '/')), '^(.+)\.[^.]+$', '\1')"
 _SUFFIX = r"lower(regexp_extract(list_last(string_split({0}, '/')), '^.+(\.[^.]+)$', 1))"
 _PARENT = "coalesce(nullif(regexp_extract({0}, '^(.*)/[^/]*$', 1), ''), '(root)')"
@@ -248,7 +250,7 @@ QUERIES = {
 
 SQL = {
     "directory_profile": f"""WITH {_F}, {_E}, {_P}, {_D} SELECT *, CASE WHEN internal_edges + outgoing_edges = 0 THEN 0.0 ELSE internal_edges / (internal_edges + outgoing_edges) END AS edge_density,
-        {_in(_LAST.format('directory'), TEST_DIRS)} AS is_test, {_in(_LAST.format('directory'), GENERATED_DIRS)} AS is_auto_generated FROM x WHERE file_count >= 2""",
+        {_in(_LAST_DIR, TEST_DIRS)} AS is_test, {_in(_LAST_DIR, GENERATED_DIRS)} AS is_auto_generated FROM x WHERE file_count >= 2""",
     "file_degrees": f"""WITH {_F}, {_E}, o AS (SELECT repo, source AS path, count(*) AS n FROM e GROUP BY ALL), i AS (SELECT repo, target AS path, count(*) AS n FROM e GROUP BY ALL)
         SELECT f.repo, f.path, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM f LEFT JOIN o USING (repo, path) LEFT JOIN i USING (repo, path)""",
     "directory_coupling": f"""WITH {_F}, {_E}, {_P} SELECT *, CASE WHEN edges >= 50 THEN 'strong' WHEN edges >= 10 THEN 'moderate' ELSE 'light' END AS band FROM p WHERE source_dir <> target_dir AND edges >= 5""",
@@ -274,7 +276,7 @@ SQL = {
     "central_files": f"""WITH {_F}, {_E}, i AS (SELECT repo, target AS path, count(*) AS in_degree, bool_or(kind = 'tests') AS tested FROM e GROUP BY ALL)
         SELECT f.repo, f.path, in_degree, NOT tested AND coalesce(symbol_count, 0) >= 2 AS untested FROM f JOIN i USING (repo, path) WHERE in_degree >= 3""",
     "test_flags": f"""WITH {_F}, s AS (SELECT *, lower({_STEM.format('path')}) AS st, lower({_LAST.format('path')}) AS nm FROM f)
-        SELECT repo, path, {_gt('path')} AS graph_test, {_in(_LAST.format('directory'), TEST_DIRS)} AS profile_test,
+        SELECT repo, path, {_gt('path')} AS graph_test, {_in(_LAST_DIR, TEST_DIRS)} AS profile_test,
             list_has_any(string_split(lower(path), '/'), ['test', 'tests', 'spec', 'specs', '__tests__', 'testing']) OR starts_with(st, 'test') OR ends_with(st, '_test') OR ends_with(st, '_spec')
             OR contains(nm, '.test.') OR contains(nm, '.spec.') AS context_test FROM s""",
     "naming_test_map": rf"""WITH {_F}, {_E}, s AS (SELECT *, lower({_STEM.format('path')}) AS st, {_gt('path')} AS is_test FROM f),
@@ -295,7 +297,7 @@ SQL = {
         UNION SELECT repo, path, regexp_replace(path, '^(.*[^/])\.[^./]+$', '\1') FROM f UNION SELECT repo, path, path FROM f)
         SELECT repo, key, count(*) AS files, CASE WHEN count(*) = 1 THEN min(path) END AS path FROM k GROUP BY ALL""",
     "size_tier": f"""WITH {_F} SELECT repo, count(*) AS files, CASE WHEN count(*) < 150 THEN 'small' WHEN count(*) < 800 THEN 'medium' WHEN count(*) < 2000 THEN 'large' ELSE 'very_large' END AS tier,
-        count(*) FILTER (NOT {_in(_LAST.format('directory'), GENERATED_DIRS)}) >= 50 AS decompose FROM f GROUP BY repo""",
+        count(*) FILTER (NOT {_in(_LAST_DIR, GENERATED_DIRS)}) >= 50 AS decompose FROM f GROUP BY repo""",
     "name_patterns": f"""WITH {_F} SELECT repo, directory, regexp_extract({_STEM.format('path')}, '^([A-Za-z]+)', 1) || '*' || {_SUFFIX.format('path')} AS shape, count(*) AS files FROM f GROUP BY ALL HAVING count(*) >= 3""",
     "slice_files": f"WITH {_F} SELECT repo, path, language, coalesce(symbol_count, 0) AS symbol_count FROM f WHERE {_SLICED.format('path')}",
     "slice_edges": f"""WITH {_E}, s AS (SELECT *, {_SLICED.format('source')} AS s, {_SLICED.format('target')} AS t FROM e)

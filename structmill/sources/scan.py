@@ -10,7 +10,7 @@ from structmill.functions.paths import suffix
 from structmill.operators.latest import latest
 
 #: Folders that a scan leaves out; fixed values.
-IGNORED_DIRS = ".git .hg .svn node_modules __pycache__ .venv venv env .tox .mypy_cache .pytest_cache .ruff_cache dist build .next .cache target vendor coverage".split()
+IGNORED_DIRS = ".git .hg .svn node_modules vendor __pycache__ .venv venv .env env dist build target .tox .mypy_cache .pytest_cache .cache agent-docs .claude".split()
 
 
 def read_tree(spark: SparkSession, root: str, repo: str, ignored: list[str] | None = None) -> DataFrame:
