@@ -13,7 +13,7 @@ from structmill.sources.tables import cut, table
 
 def edge_keys(spark: SparkSession, data_dir: str) -> DataFrame:
     """Per repo, target and kind: edges, the confidence (sum in thousandths, least, greatest), first and last line."""
-    edges = edges_once(table(spark, data_dir, "graph_edges")).where(F.col("target").isNotNull())
+    edges = edges_once(table(spark, data_dir, "graph_edges"), "repo", "target", "kind", "line", "confidence").where(F.col("target").isNotNull())
     thousandths = F.round(F.col("confidence") * 1000).cast("bigint")
     return key_totals(
         edges,
@@ -35,7 +35,7 @@ def heavy_keys(edges: DataFrame, files: DataFrame, share: float = 0.01) -> DataF
     At most ``1 / share`` rows come out, so they are broadcast to the files. A target that is no known file keeps
     its normal spelling; without any edge there are no rows.
     """
-    counted = cut(key_totals(edges_once(edges).where(F.col("target").isNotNull()), ["repo", "target", "kind"], {"edges": ("count", F.lit(1))}))
+    counted = cut(key_totals(edges_once(edges, "repo", "target", "kind").where(F.col("target").isNotNull()), ["repo", "target", "kind"], {"edges": ("count", F.lit(1))}))
     total = counted.agg(F.coalesce(F.sum("edges"), F.lit(0))).first()[0]
     heavy = counted.where((F.col("edges") >= share * total) & (F.col("edges") > 0))
     known = files.select(F.col("repo").alias("f_repo"), F.col("path").alias("f_path"), normal_path(F.col("path")).alias("f_key"))
