@@ -12,8 +12,6 @@ def normal_path(path: Column) -> Column:
     A ``..`` that climbs above the root stays. Null gives null; an empty path gives an empty path.
     """
     flat = F.regexp_replace(F.translate(F.trim(path), "\\", "/"), "/+", "/")
-    flat = F.regexp_replace(F.regexp_replace(flat, r"^(?:\./)+|^/", ""), r"/(?:\./)+", "/")
-
     kept = F.filter(F.split(flat, "/"), lambda p: (p != "") & (p != "."))
     climbed = F.aggregate(
         kept,
@@ -23,8 +21,9 @@ def normal_path(path: Column) -> Column:
             F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
         ).otherwise(F.array_append(acc, p)),
     )
-    odd = flat.rlike(r"(^|/)\.\.?(/|$)|^/|/$")
-    return F.when(odd, F.array_join(climbed, "/")).otherwise(flat)
+    # one look settles the paths that are normal already
+    odd = path.rlike(r"[\\]|//|(?:^|/)\.\.?(?:/|$)|^[/ ]|[/ ]$")
+    return F.when(odd, F.array_join(climbed, "/")).otherwise(path)
 
 
 def parent_dir(path: Column, root: str = "(root)") -> Column:

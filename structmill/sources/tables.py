@@ -27,3 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the checkpoint folder, so that several uses read it back."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, by the hash of ``keys``; unchanged where it has them.
+
+    For costly work in Python on a table of few files or row groups. Large tables come in enough splits and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, *keys)
