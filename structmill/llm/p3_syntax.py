@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from structmill.llm.lexing import LANGUAGES, effects, joined
 from structmill.llm.syntax import language_of, valid
-from structmill.sources.tables import table
+from structmill.sources.tables import spread, table
 
 #: Characters of one piece.
 PIECE = 1 << 16
@@ -100,7 +100,7 @@ def syntax_flags(source_files: DataFrame, piece: int = PIECE) -> DataFrame:
     rows = source_files.where(F.col("file_id").isNotNull() & suffix_language(F.col("file_path")).isNotNull())
     rows = rows.select(F.col("file_id").alias("key"), F.col("file_path").alias("path"), F.regexp_replace(F.coalesce("content", F.lit("")), "\\r\\n?", "\n").alias("text"), "ingested_at")
     short = rows.where(F.length("text") <= piece)
-    flags = short.select("key", "path", "text", "ingested_at").mapInArrow(_with_time(_parse(piece)), "key bigint, bad boolean, ingested_at timestamp, digest bigint")
+    flags = spread(short.select("key", "path", "text", "ingested_at"), "key").mapInArrow(_with_time(_parse(piece)), "key bigint, bad boolean, ingested_at timestamp, digest bigint")
     long = rows.where(F.length("text") > piece)
     numbered = long.withColumn("own", F.xxhash64("key", "path", "text", "ingested_at"))
     closed = closed_files(numbered.select(F.col("own").alias("key"), "path", "text").dropDuplicates(["key"]), piece).withColumnsRenamed({"key": "c_key", "closed": "c_closed"})

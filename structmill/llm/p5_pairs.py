@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from structmill.llm.p3_syntax import suffix_language, syntax_flags
 from structmill.llm.pairs import documented_functions, trivial
 from structmill.llm.syntax import language_of
-from structmill.sources.tables import table
+from structmill.sources.tables import spread, table
 
 _SCHEMA = "file_id bigint, line int, name string, kind string, signature string, documentation string"
 
@@ -37,7 +37,7 @@ def documented_pairs(source_files: DataFrame) -> DataFrame:
     """
     invalid = syntax_flags(source_files).where("invalid").select(F.col("file_id").alias("bad_file_id"))
     rows = source_files.where(F.col("file_id").isNotNull() & (F.length("content") > 0) & suffix_language(F.col("file_path")).isNotNull())
-    found = rows.select("file_id", "file_path", "content").mapInArrow(_extract, _SCHEMA)
+    found = spread(rows.select("file_id", "file_path", "content"), "file_id").mapInArrow(_extract, _SCHEMA)
     return found.join(invalid, F.col("file_id") == F.col("bad_file_id"), "left_anti").dropDuplicates(["file_id", "line", "name"])
 
 

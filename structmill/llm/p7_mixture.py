@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structmill.llm.sources import language_name, source_name
-from structmill.sources.tables import cut, table
+from structmill.sources.tables import cut, spread, table
 
 #: Slices of the hash range of a leaf and epoch.
 SLICES = 4096
@@ -64,7 +64,7 @@ def unique_texts(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) ->
     """
     rows = documents.select("doc_id", source_name(F.col("source")).alias("source"), language_name(F.col("lang")).alias("lang"), "text")
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("source").isNotNull() & (F.length("text") > 0))
-    sized = rows.select("doc_id", "source", "lang", F.sha2("text", 256).alias("text_key"), "text").mapInArrow(
+    sized = spread(rows.select("doc_id", "source", "lang", F.sha2("text", 256).alias("text_key"), "text"), "doc_id").mapInArrow(
         _count_tokens(vocabulary), "doc_id bigint, source string, lang string, text_key string, tokens bigint"
     )
     once = sized.groupBy("text_key").agg(F.min(F.struct("doc_id", "source", "lang", "tokens")).alias("r"))

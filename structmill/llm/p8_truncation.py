@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structmill.llm.sources import source_name
-from structmill.sources.tables import cut, table
+from structmill.sources.tables import cut, spread, table
 
 #: A trigram counts as frequent inside from this many times on, ...
 LEAST_INSIDE = 2
@@ -118,6 +118,7 @@ def truncated(documents: DataFrame, least_inside: int = LEAST_INSIDE, most_at_en
     Null and empty texts (also of blanks only) aren't cut and don't appear. Repeated rows of a document count
     once; a document is cut if any row of it is.
     """
+    documents = spread(documents.select("doc_id", "text"), "doc_id", "text")
     counts = cut(trigram_counts(documents.where(F.col("text").isNotNull()).select("text")))
     ends = cut(endings(documents))
     unsettled = ends.where(~F.col("fence") & ~F.col("broken") & ~F.col("opened") & (~F.col("closed") | F.col("dots")))
