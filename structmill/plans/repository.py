@@ -77,10 +77,10 @@ def dominant_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 def directory_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """The hundred directories of each repository with most incoming edges, ties by path."""
+    """All directories of each repository by incoming edges, most first, ties by path. The SQL below stops at rank 100."""
     profile = graph.directory_edges(_files(spark, d), _pairs(spark, d))
     rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.col("incoming_edges").desc(), "directory"))
-    return profile.select("repo", "directory", "incoming_edges", rank.alias("rank")).where("rank <= 100")
+    return profile.select("repo", "directory", "incoming_edges", rank.alias("rank"))
 
 
 def symbol_popularity(spark: SparkSession, d: str) -> DataFrame:

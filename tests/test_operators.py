@@ -138,3 +138,15 @@ def test_one_sided_results_are_an_error(spark):
 
     with pytest.raises(Exception, match="only one side"):
         deltas(spark, [(1, "f", 1, 1.0, 1.0, True, True, 5.0, None)])
+
+
+def test_directory_ranking_has_every_directory(spark, tmp_path):
+    from structmill.plans.repository import directory_ranking
+
+    files = [("r", f"d{i:03}/a.py", f"d{i:03}", "python", 1, 0, False, 0, 0, 0, None) for i in range(130)] + [("s", "x/a.py", "x", "python", 1, 0, False, 0, 0, 0, None)]
+    columns = "repo string, path string, directory string, language string, symbol_count int, import_count int, has_tests boolean, incoming_edges int, outgoing_edges int, call_edge_count int, scanned_at timestamp"
+    spark.createDataFrame(files, columns).write.parquet(f"{tmp_path}/file_infos.parquet")
+    edges = [(i, "r", "d000/a.py", f"d{129 - i % 2:03}/a.py", "calls", None, i, 1.0, None) for i in range(3)]
+    spark.createDataFrame(edges, EDGES).write.parquet(f"{tmp_path}/graph_edges.parquet")
+    rows = sorted((r.repo, r.rank, r.directory, r.incoming_edges) for r in directory_ranking(spark, str(tmp_path)).collect())
+    assert rows == [("r", 1, "d129", 2), ("r", 2, "d128", 1), *[("r", i + 3, f"d{i:03}", 0) for i in range(128)], ("s", 1, "x", 0)]
