@@ -38,8 +38,12 @@ def _flat(text: Column) -> Column:
 
 
 def trigram_counts(documents: DataFrame) -> DataFrame:
-    """Of each trigram of the corpus: how often it stands inside a paragraph and how often at its end."""
-    paragraphs = documents.select(F.explode(F.split(_flat(F.col("text")), r"\n\s*\n")).alias("p"))
+    """Of each trigram of the corpus: how often it stands inside a paragraph and how often at its end.
+
+    A text counts once, however many rows and ids it has; line ends and blanks at the end make no other text of it.
+    """
+    texts = documents.select(_flat(F.col("text")).alias("t")).distinct()
+    paragraphs = texts.select(F.explode(F.split("t", r"\n\s*\n")).alias("p"))
     tokens = paragraphs.select(_tokens(F.col("p")).alias("w")).where(F.size("w") > 2)
     grams = tokens.select(
         F.explode(
@@ -116,7 +120,7 @@ def truncated(documents: DataFrame, least_inside: int = LEAST_INSIDE, most_at_en
     """Per document with text: doc_id, whether it is cut, and why: block | bytes | sentence | word | form.
 
     Null and empty texts (also of blanks only) aren't cut and don't appear. Repeated rows of a document count
-    once; a document is cut if any row of it is.
+    once, and so does a text under several ids; a document is cut if any row of it is.
     """
     documents = spread(documents.select("doc_id", "text"), "doc_id", "text")
     counts = cut(trigram_counts(documents.where(F.col("text").isNotNull()).select("text")))

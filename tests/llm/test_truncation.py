@@ -36,3 +36,10 @@ def test_long_text_and_empty_table(spark):
     got = {r.doc_id: r.truncated for r in truncated(corpus(spark, [(900, long, "x"), (901, long + "The branch service keeps", "x")])).collect()}
     assert not got[900] and got[901]
     assert truncated(spark.createDataFrame([], DOCS)).count() == 0 and source_rates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_copies_do_not_vote_for_their_own_cut_end(spark):
+    ends = [("The branch service keeps one", "sentence"), ("The branch service keeps one repl", "word")]
+    copies = [(2000 + 100 * k + i, "Unheard words stand here. " + t + "\r\n" * (i % 3), "wiki_export") for k, (t, _) in enumerate(ends) for i in range(40)]
+    got = {r.doc_id: r.why for r in truncated(corpus(spark, copies)).collect()}
+    assert [{got[2000 + 100 * k + i] for i in range(40)} for k in range(2)] == [{why} for _, why in ends]
