@@ -3,7 +3,8 @@
 A file is read in pieces. Each piece becomes a map from the lexer state it may begin in to the state it ends in
 and the brackets it closes and leaves open; such maps are joined associatively, so the pieces of a long file are
 read anywhere and summed up in two rounds, without the text. A file that ends in plain code with every bracket
-closed then goes to the local grammars, which parse its balanced statements.
+closed then goes to the local grammars, which parse its balanced statements. Python files of any size go straight to
+Python's own parser: what is open within an f-string's holes is more than the maps can say.
 """
 
 from __future__ import annotations
@@ -63,11 +64,13 @@ def _join(level: str):
 
 def closed_files(files: DataFrame, piece: int = PIECE) -> DataFrame:
     """key, and whether a reader leaves the text in plain code with all brackets closed. files: key, path, text."""
+    # a string goes on where a backslash ends the line: such a line end parts no pieces (both signs are masked, so places stay)
+    marked = files.select("key", "path", "text", F.replace("text", F.lit("\\\n"), F.lit("  ")).alias("ends"))
     count = F.ceil(F.length("text") / piece).cast("int")
-    pieces = files.select("key", "path", "text", F.explode(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).alias("n"))
+    pieces = marked.select("key", "path", "text", "ends", F.explode(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).alias("n"))
     # a piece ends where a line ends: each takes the rest of the line that its last character stands in
-    begin = F.expr(f"if(n = 0, 0, coalesce(nullif(locate('\\n', text, n * {piece}), 0), length(text)))")
-    end = F.expr(f"coalesce(nullif(locate('\\n', text, (n + 1) * {piece}), 0), length(text))")
+    begin = F.expr(f"if(n = 0, 0, coalesce(nullif(locate('\\n', ends, n * {piece}), 0), length(text)))")
+    end = F.expr(f"coalesce(nullif(locate('\\n', ends, (n + 1) * {piece}), 0), length(text))")
     parts = pieces.select("key", "path", "n", begin.alias("a"), end.alias("b"), "text")
     parts = parts.select("key", "path", "n", F.substring(F.col("text"), F.col("a") + 1, F.col("b") - F.col("a")).alias("part"))
     read = parts.repartition("key", "n").mapInArrow(_read_pieces, f"key bigint, n int, {_MAPS}")
@@ -82,7 +85,7 @@ def _parse(piece: int):
             bad = []
             for path, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 language = language_of(path)
-                # long texts come here only after their pieces were summed up; Python's own parser needs no help
+                # other long texts come here only after their pieces were summed up; Python's own parser needs no help
                 known_closed = len(text) > piece or language == "python"
                 closed = known_closed or effects(text, "typescript" if language == "tsx" else language, True)[""] == ("", "", "")
                 bad.append(not closed or not valid(text, language))
@@ -99,9 +102,10 @@ def syntax_flags(source_files: DataFrame, piece: int = PIECE) -> DataFrame:
     """
     rows = source_files.where(F.col("file_id").isNotNull() & suffix_language(F.col("file_path")).isNotNull())
     rows = rows.select(F.col("file_id").alias("key"), F.col("file_path").alias("path"), F.regexp_replace(F.coalesce("content", F.lit("")), "\\r\\n?", "\n").alias("text"), "ingested_at")
-    short = rows.where(F.length("text") <= piece)
+    mapped = (F.length("text") > piece) & (suffix_language(F.col("path")) != "python")
+    short = rows.where(~mapped)
     flags = spread(short.select("key", "path", "text", "ingested_at"), "key").mapInArrow(_with_time(_parse(piece)), "key bigint, bad boolean, ingested_at timestamp, digest bigint")
-    long = rows.where(F.length("text") > piece)
+    long = rows.where(mapped)
     numbered = long.withColumn("own", F.xxhash64("key", "path", "text", "ingested_at"))
     closed = closed_files(numbered.select(F.col("own").alias("key"), "path", "text").dropDuplicates(["key"]), piece).withColumnsRenamed({"key": "c_key", "closed": "c_closed"})
     judged = numbered.join(closed, F.col("own") == F.col("c_key"))

@@ -88,3 +88,15 @@ def test_job(spark):
     assert syntax_flags(spark.createDataFrame([], FILES)).count() == 0
     total = invalid_rates(df).where("repo IS NULL AND language IS NULL").first()
     assert (total.files, total.invalid) == (7, 2)
+
+
+def test_size_changes_no_result(spark):
+    pad = "# " + "x" * 150 + "\n"
+    wide = "a" * 120
+    texts = {
+        "a.py": pad + "x = f\"{d[\"(\"]}\"\n" + pad, "b.py": "x = '" + wide + "\\\n(" + wide + "'\n", "c.py": pad + "x = (\n" + pad, "d.js": "var s = \"" + wide + "\\\n( " + wide + "\\\n[" + wide + "\";\nf(s);\n",
+        "e.ts": "let s = '" + wide + "\\\n} b';\n" + "// " + wide + "\n", "f.js": "var s = \"" + wide + "\\\n(\";\nf(" + wide + ";\n", "g.ts": "let s = '" + wide + "\\\\';\n" + "f({});\n// " + wide + "\n", "h.js": "f(); // " + wide + "\\\ng(\n",
+    }
+    df = spark.createDataFrame([(i, "r", p, t, None) for i, (p, t) in enumerate(texts.items())], FILES)
+    got = [{r.file_id: r.invalid for r in syntax_flags(df, piece=n).collect()} for n in (100, 1 << 16)]
+    assert got[0] == got[1] == {i: p in ("c.py", "f.js", "h.js") for i, p in enumerate(texts)}
