@@ -1,11 +1,11 @@
-"""Local grammars of the bracket languages, in the notation of :mod:`structmill.llm.notation`."""
+"""Local grammars of the languages, in the notation of :mod:`structmill.llm.notation`."""
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-from structmill.llm.lexing import LEXERS
 from structmill.llm.notation import Grammar
+from structmill.llm.vocabulary import WORDS
 
 # JavaScript and TypeScript ------------------------------------------------------------------------------------
 
@@ -19,14 +19,15 @@ end : sep+ | $
 file : sep* ( stmt sep* )*
 b_block : sep* ( stmt sep* )*
 seq : expr ( ',' expr )*
+hole : ( '...'? seq )?
 expr : unit ( binop unit )* ( '?' expr ':' expr )?
 binop : '>'+ '='? | BIN
 unit : pre* prim post* | 'yield'
 pre : PRE | 'yield' '*'?
 prim : arrow | fn | cls | 'new' ( '.' ID | unit ) | 'import' ( P.ARGS | '.' ID ) | name | CONSTANT | NUM | STR | TPL | P.SEQ | A.ARR | B.OBJ | generics unit
 arrow : 'async'? ( generics? P.PARAMS ret? | name ) '=>' ( B.BLOCK | !( B.OBJ ) expr )
-fn : 'async'? 'function' '*'? name? generics? P.PARAMS ret? B.BLOCK
-cls : deco* 'class' name? generics? ( 'extends' unit generics? )? ( 'implements' type ( ',' type )* )? B.CLASS
+fn : 'async'? 'function' '*'? name? generics? P.PARAMS ret? NL? B.BLOCK
+cls : deco* 'class' name? generics? ( 'extends' unit generics? )? ( 'implements' type ( ',' type )* )? NL? B.CLASS
 deco : '@' ( name ( '.' ID )* P.ARGS? | P.SEQ ) NL?
 post : '.' ID | '?.' ( ID | P.ARGS | A.SEQ ) | P.ARGS | A.SEQ | TPL | '++' | '--' | bang | generics P.ARGS | cast
 stmt : B.BLOCK | typed | fn | cls
@@ -35,8 +36,8 @@ stmt : B.BLOCK | typed | fn | cls
   | 'for' 'await'? P.FOR NL? stmt
   | 'while' P.SEQ NL? stmt
   | 'do' stmt sep* 'while' P.SEQ
-  | 'try' B.BLOCK ( NL* 'catch' P.PARAMS? B.BLOCK ( NL* 'finally' B.BLOCK )? | NL* 'finally' B.BLOCK )
-  | 'switch' P.SEQ B.SWITCH
+  | 'try' B.BLOCK ( NL* 'catch' P.PARAMS? NL? B.BLOCK ( NL* 'finally' B.BLOCK )? | NL* 'finally' B.BLOCK )
+  | 'switch' P.SEQ NL? B.SWITCH
   | 'return' seq? end | 'throw' seq end | JUMP name? end | 'debugger' end
   | 'import' typeword? ( STR | imported 'from' STR ) ( 'with' B.OBJ )? end
   | 'export' exported
@@ -72,7 +73,7 @@ optional : '?'
 cast : ( 'as' | 'satisfies' ) ( 'const' | type )
 typeword : 'type'
 modword : PARMODS
-body : B.BLOCK | end
+body : NL? B.BLOCK | end
 indexed : A.INDEX ':' type end
 generics : '<' tpar ( ',' tpar )* ','? '>'
 tpar : 'const'? type ( 'extends' type )? ( '=' type )?
@@ -94,10 +95,10 @@ tend : tsep+ | $
 tmem : ( ( '+' | '-' )? 'readonly' )? A.MAPPED ( ( '+' | '-' )? '?' )? ':' type tend | 'readonly'? A.INDEX ':' type tend | ACCESS key P.PARAMS ret? tend | 'new'? generics? P.PARAMS ret? tend
   | 'readonly'? key '?'? ( generics? P.PARAMS ret? | ':' type )? tend
 b_enum : ( key ( '=' expr )? ( ',' key ( '=' expr )? )* ','? )?
-typed : 'declare'? ( 'interface' name generics? ( 'extends' type ( ',' type )* )? B.TBODY | 'type' name generics? '=' type end | 'const'? 'enum' name B.ENUM
-  | ( 'namespace' | 'module' ) ( name ( '.' ID )* | STR ) B.BLOCK | 'abstract' cls ) | 'async'? 'function' name generics? P.PARAMS ret? end | 'declare' !( '=' | '.' | P.ARGS ) stmt
+typed : 'declare'? ( 'interface' name generics? ( 'extends' type ( ',' type )* )? NL? B.TBODY | 'type' name generics? '=' type end | 'const'? 'enum' name NL? B.ENUM
+  | ( 'namespace' | 'module' ) ( name ( '.' ID )* | STR ) NL? B.BLOCK | 'abstract' cls ) | 'async'? 'function' name generics? P.PARAMS ret? end | 'declare' !( '=' | '.' | P.ARGS ) stmt
 """
-_NO_TYPES = "\n".join(f"{r} : never" for r in "ret bang optional cast typeword modword indexed generics type typed".split()) + "\nbody : B.BLOCK"
+_NO_TYPES = "\n".join(f"{r} : never" for r in "ret bang optional cast typeword modword indexed generics type typed".split()) + "\nbody : NL? B.BLOCK"
 
 _SCRIPT_CLASSES = {
     "BIN": "+ - * / % ** << & | ^ && || ?? < <= == != === !== in instanceof = += -= *= /= %= **= <<= &= |= ^= &&= ||= ??=",
@@ -113,7 +114,7 @@ _TYPE_SOFT = "type interface namespace module declare abstract readonly public p
 
 def _script(typed: bool) -> Grammar:
     language = "typescript" if typed else "javascript"
-    classes = _SCRIPT_CLASSES | {"TPL": "TPL", "WORDS": " ".join(sorted(LEXERS[language].keywords)), "SOFT": _SCRIPT_SOFT + (" " + _TYPE_SOFT if typed else "")}
+    classes = _SCRIPT_CLASSES | {"TPL": "TPL", "WORDS": " ".join(sorted(WORDS[language])), "SOFT": _SCRIPT_SOFT + (" " + _TYPE_SOFT if typed else "")}
     classes["MODS"] = "static" + (" public private protected readonly abstract override declare async" if typed else "")
     classes |= {"PARMODS": "public private protected readonly override", "TPRE": "keyof readonly unique infer asserts", "TCONST": "this void null true false"} if typed else {}
     kinds = {"P": "seq args params for", "A": "seq arr", "B": "block~ obj class~ imports switch~"}
@@ -358,7 +359,93 @@ def _rust() -> Grammar:
     return Grammar(_RUST, kinds, "file", classes)
 
 
+# Python -------------------------------------------------------------------------------------------------------
+
+_PYTHON = """
+name : ID | SOFT
+file : stmt*
+i_block : stmt+
+i_cases : ( 'case' patterns ( 'if' named )? ':' suite )+
+end : NL | $
+stmt : compound | small ( ';' small )* ';'? end
+suite : NL I.BLOCK | !( NL ) small ( ';' small )* ';'? end
+small : 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' ( expr ( 'from' expr )? )? | 'assert' expr ( ',' expr )? | 'del' stars | ( 'global' | 'nonlocal' ) name ( ',' name )*
+  | 'import' module ( ',' module )* | 'from' ( '.' | '...' )* dotted? 'import' ( '*' | P.NAMES | names ) | 'type' name A.TPARAMS? '=' expr | assign
+module : dotted ( 'as' name )?
+dotted : name ( '.' name )*
+names : iname ( ',' iname )*
+iname : name ( 'as' name )?
+p_names : iname ( ',' iname )* ','?
+assign : yielded | ( targets '=' )+ value | lhs ( ':' expr ( '=' value )? | AUG value ) | stars
+value : yielded | stars
+yielded : 'yield' ( 'from' expr | stars )?
+targets : '*'? lhs ( ',' '*'? lhs )* ','?
+lhs : atom hop+ | name | P.TARGETS | A.TARGETS
+hop : P.ARGS* ( '.' name | A.INDEX )
+p_targets : targets?
+a_targets : targets?
+stars : star ( ',' star )* ','?
+star : '*' bits | named
+named : name ':=' expr | expr
+expr : 'lambda' lparams? ':' expr | either ( 'if' either 'else' expr )?
+either : both ( ( 'or' | 'and' ) both )*
+both : 'not'* bits ( ( CMP | 'not' 'in' | 'is' 'not'? | 'in' ) bits )*
+bits : SIGN* 'await'? atom post* ( BIN SIGN* 'await'? atom post* )*
+atom : name | NUM | STR+ | CONSTANT | P.PAREN | A.LIST | B.DICT | '...'
+post : '.' name | P.ARGS | A.INDEX
+p_paren : ( yielded | star ( comp+ | ( ',' star )* ','? ) )?
+a_list : ( star ( comp+ | ( ',' star )* ','? ) )?
+b_dict : ( pair ( comp+ | ( ',' pair )* ','? ) | star ( comp+ | ( ',' star )* ','? ) )?
+pair : '**' bits | expr ':' expr
+comp : 'async'? 'for' targets 'in' ( 'lambda' lparams? ':' expr | either ) ( 'if' ( name ':=' either | either ) )*
+p_args : ( arg ( ',' arg )* ','? )?
+arg : name '=' expr | '**' expr | '*' expr | named comp*
+a_index : slice ( ',' slice )* ','?
+slice : ':' expr? ( ':' expr? )? | '*' bits | named ( ':' expr? ( ':' expr? )? )?
+p_params : ( par ( ',' par )* ','? )?
+par : '/' | '**' name ( ':' expr )? | '*' ( name ( ':' star )? )? | name ( ':' expr )? ( '=' expr )?
+lparams : lpar ( ',' lpar )* ','?
+lpar : '/' | '**' name | '*' name? | name ( '=' expr )?
+a_tparams : tpar ( ',' tpar )* ','?
+tpar : ( '*' | '**' )? name ( ':' expr )? ( '=' star )?
+compound : deco* ( 'async'? 'def' name A.TPARAMS? P.PARAMS ( '->' expr )? ':' suite | 'class' name A.TPARAMS? P.ARGS? ':' suite )
+  | 'if' named ':' suite ( 'elif' named ':' suite )* else
+  | 'while' named ':' suite else
+  | 'async'? 'for' targets 'in' stars ':' suite else
+  | 'async'? 'with' ( withs ':' | P.WITH ':' ) suite
+  | 'try' ':' suite ( ( 'except' '*'? ( expr ( 'as' name )? )? ':' suite )+ else ( 'finally' ':' suite )? | 'finally' ':' suite )
+  | 'match' stars ':' NL I.CASES
+deco : '@' named NL
+else : ( 'else' ':' suite )?
+withs : with ( ',' with )* ','?
+with : expr ( 'as' lhs )?
+p_with : withs
+patterns : pat ( ',' pat )* ','?
+pat : '*' name | cpat ( '|' cpat )* ( 'as' name )?
+cpat : '-'? NUM ( ( '+' | '-' ) NUM )? | STR+ | CONSTANT | name ( '.' name )* P.CPATS? | P.PATS | A.PATS | B.MPATS
+p_cpats : ( cparg ( ',' cparg )* ','? )?
+cparg : name '=' pat | pat
+p_pats : patterns?
+a_pats : patterns?
+b_mpats : ( mpat ( ',' mpat )* ','? )?
+mpat : '**' name | cpat ':' pat
+"""
+
+
+def _python() -> Grammar:
+    kinds = {"P": "paren args params targets with names cpats pats", "A": "list index targets tparams pats", "B": "dict mpats", "I": "block~ cases~"}
+    classes = {
+        "SOFT": "match case type",
+        "CONSTANT": "True False None",
+        "AUG": "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=",
+        "CMP": "< > <= >= == !=",
+        "BIN": "+ - * / // % @ ** << >> & | ^",
+        "SIGN": "+ - ~",
+    }
+    return Grammar(_PYTHON, kinds, "file", classes)
+
+
 @lru_cache(maxsize=None)
 def grammar(language: str) -> Grammar:
-    build = {"javascript": lambda: _script(False), "typescript": lambda: _script(True), "tsx": lambda: _script(True), "go": _go, "java": _java, "rust": _rust}
+    build = {"python": _python, "javascript": lambda: _script(False), "typescript": lambda: _script(True), "tsx": lambda: _script(True), "go": _go, "java": _java, "rust": _rust}
     return build[language]()

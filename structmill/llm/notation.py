@@ -1,12 +1,11 @@
 """Local grammars: regular patterns over token classes, in which each bracket group is one symbol.
 
-A file is read once, left to right. What stands in a pair of brackets is matched, when the pair closes, against
-the kinds of groups of its language (arguments, block, type body, ...), and goes on in the enclosing text as one
-symbol that says which kinds it can be. So no pattern ever looks into a group, and equal groups are matched once.
+What stands in a pair of brackets is matched, when the pair closes, against the kinds of groups of its language
+(arguments, block, type body, ...), and goes on in the enclosing text as one symbol that says which kinds it can be. So no pattern ever looks into a group, and equal groups are matched once.
 
 Notation of a rule: ``name : body``. 'x' is the token x, upper-case names are token classes, other names are rules;
-P.KIND, A.KIND and B.KIND are groups in round, square and curly brackets; ( ) | * + ? as usual, !( ) what must not
-follow, $ the end of the group. Choices are ordered and never reconsidered.
+P.KIND, A.KIND and B.KIND are groups in round, square and curly brackets, I.KIND indented blocks; ( ) | * + ? as usual,
+!( ) what must not follow, $ the end of the group. Choices are ordered and never reconsidered.
 """
 
 from __future__ import annotations
@@ -16,10 +15,8 @@ from functools import lru_cache
 
 import regex
 
-_ITEM = re.compile(r"\s*(?:'(?P<token>[^']+)'|(?P<group>[PAB])\.(?P<kind>\w+)|(?P<class>[A-Z]+\b)|(?P<rule>[a-z]\w*)|(?P<sign>!\(|[()|*+?$]))")
-_MARK = {"P": "\ue000", "A": "\ue001", "B": "\ue002"}
-_OPEN = {"(": "P", "[": "A", "{": "B"}
-_CLOSE = {")": "P", "]": "A", "}": "B"}
+_ITEM = re.compile(r"\s*(?:'(?P<token>[^']+)'|(?P<group>[PABI])\.(?P<kind>\w+)|(?P<class>[A-Z]+\b)|(?P<rule>[a-z]\w*)|(?P<sign>!\(|[()|*+?$]))")
+_MARK = {"P": "\ue000", "A": "\ue001", "B": "\ue002", "I": "\ue003"}
 
 
 class Grammar:
@@ -49,8 +46,10 @@ class Grammar:
                 if n not in self._short and all(r in self._short for r in re.findall(r"(?<![\w.'])[a-z]\w*(?![\w'])", re.sub(r"'[^']+'", "''", b))) and len(x := self._body(b)) < 160:
                     self._short[n] = f"(?>{x})"
         defined = "".join(f"(?P<{n}>(?>{self._body(b)}))" for n, b in bodies.items() if n not in self._short)
-        self._define = f"(?(DEFINE){defined})"
-        self._compiled: dict[str, regex.Pattern] = {}
+        # one pattern for all rules that are asked for: the first character says which
+        self._asked = {n: chr(0xF000 + i) for i, n in enumerate(n for n in bodies if n[:2] in ("p_", "a_", "b_", "i_") or n in (start, "hole"))}
+        choices = "|".join(f"{mark}{self._short.get(n) or f'(?&{n})'}" for n, mark in self._asked.items())
+        self._pattern = regex.compile(f"(?(DEFINE){defined})(?:{choices})", regex.S)
         self.group = lru_cache(maxsize=20_000)(self._group)
 
     def _char(self, token: str) -> str:
@@ -84,33 +83,10 @@ class Grammar:
         return "".join(out)
 
     def matches(self, rule: str, content: str) -> bool:
-        if rule not in self._compiled:
-            self._compiled[rule] = regex.compile(self._define + (self._short.get(rule) or f"(?&{rule})"), regex.S)
-        return self._compiled[rule].fullmatch(content) is not None
+        return self._pattern.fullmatch(self._asked[rule] + content) is not None
 
     def _group(self, bracket: str, content: str) -> str | None:
         """The symbol of a group with this content; None if it can be nothing."""
         flat = content.replace("\n", "")
         fits = "".join("01"[self.matches(f"{bracket.lower()}_{kind}", content if lines else flat)] for kind, lines in zip(self.kinds[bracket], self.lines[bracket]))
         return _MARK[bracket] + fits if "1" in fits else None
-
-    def valid(self, tokens: list[str]) -> bool:
-        """tokens: characters of ``chars``, brackets as themselves."""
-        stack: list[tuple[str, list[str]]] = []
-        here: list[str] = []
-        for t in tokens:
-            if t in _OPEN:
-                stack.append((_OPEN[t], here))
-                here = []
-            elif t in _CLOSE:
-                if not stack or stack[-1][0] != _CLOSE[t]:
-                    return False
-                bracket, outer = stack.pop()
-                symbol = self.group(bracket, "".join(here))
-                if symbol is None:
-                    return False
-                outer.append(symbol)
-                here = outer
-            else:
-                here.append(t)
-        return not stack and self.matches(self.start, "".join(here))

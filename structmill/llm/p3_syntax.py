@@ -1,31 +1,40 @@
 """Problem 3: source files that do not parse.
 
-A file is read in pieces. Each piece becomes a map from the lexer state it may begin in to the state it ends in
-and the brackets it closes and leaves open; such maps are joined associatively, so the pieces of a long file are
-read anywhere and summed up in two rounds, without the text. A file that ends in plain code with every bracket
-closed then goes to the local grammars, which parse its balanced statements. Python files of any size go straight to
-Python's own parser: what is open within an f-string's holes is more than the maps can say.
+Every file is cut into pieces, and each piece becomes a map from the states it can be entered in to the state it
+leaves, with its tokens, of which every closed bracket group is already one symbol, and the brackets it closes and
+leaves open. Such maps are joined associatively: runs of pieces where they lie, so that only short summaries are
+shuffled, and the runs of a file where they meet. What is left of a file that closes all it opens is its outermost
+statements, which the local grammar of its language parses. All languages and sizes take this one way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structmill.llm.lexing import LANGUAGES, effects, joined
-from structmill.llm.syntax import language_of, valid
+from structmill.llm.lexing import Effect, effect, joined, parses, pieces, prepared, states
+from structmill.llm.syntax import language_of
+from structmill.llm.vocabulary import LANGUAGES
 from structmill.sources.tables import spread, table
 
-#: Characters of one piece.
-PIECE = 1 << 16
-#: Pieces whose maps are joined in the first round; the second joins the results of a file.
-FIRST_ROUND = 256
+#: Characters of one piece; a line is never split.
+PIECE = 2048
+#: Pieces that are joined before the shuffle.
+RUN = 64
 
-_MAPS = "starts array<string>, states array<string>, closes array<string>, opens array<string>"
+_SUMMARY = pa.schema(
+    [("key", pa.int64()), ("seen", pa.string()), ("digest", pa.int64()), ("repo", pa.string()), ("language", pa.string()), ("n", pa.int32()), ("begin", pa.int32())]
+    + [("places", pa.list_(pa.int32())), ("states", pa.list_(pa.string())), ("tokens", pa.list_(pa.string())), ("ends", pa.list_(pa.string())), ("goes_on", pa.list_(pa.int32()))]
+)
+_SUMMARY_DDL = "key bigint, seen string, digest bigint, repo string, language string, n int, begin int, places array<int>, states array<string>, tokens array<string>, ends array<string>, goes_on array<int>"
+
+#: What else is taken from a text while it is read: rows of a struct, their Arrow and SQL types.
+Extras = tuple[Callable[[str, str], list[dict]], pa.DataType, str]
 
 
 def suffix_language(path: Column) -> Column:
@@ -34,107 +43,98 @@ def suffix_language(path: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), suffix)
 
 
-def _columns(maps: list[dict]) -> list[pa.Array]:
-    lists = [[list(m) for m in maps], *[[[v[i] for v in m.values()] for m in maps] for i in range(3)]]
-    return [pa.array(x, pa.list_(pa.string())) for x in lists]
-
-
-def _read_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        paths, numbers, texts = (batch.column(i).to_pylist() for i in (1, 2, 3))
-        maps = []
-        for path, n, text in zip(paths, numbers, texts):
-            language = language_of(path)
-            maps.append(effects(text, "typescript" if language == "tsx" else language, n == 0))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *_columns(maps)], ["key", "n", "starts", "states", "closes", "opens"])
+def runs(text: str, language: str, piece: int = PIECE, run: int = RUN) -> Iterator[Effect]:
+    """The effects of runs of pieces of one text."""
+    text = prepared(text, language)
+    known = states(text, language)
+    held: list[Effect] = []
+    for begin, part in pieces(text, language, piece):
+        held.append(effect(part, begin, language, known))
+        if len(held) == run:
+            yield reduce(lambda a, b: joined(a, b, language), held)
+            held = []
+    if held:
+        yield reduce(lambda a, b: joined(a, b, language), held)
 
 
-def _maps(table_: pa.Table) -> list[dict]:
-    rows = sorted(zip(*(table_.column(c).to_pylist() for c in ("n", "starts", "states", "closes", "opens"))))
-    return [dict(zip(starts, zip(states, closes, opens))) for _, starts, states, closes, opens in rows]
+def _summarised(piece: int, run: int, extras: Extras | None):
+    schema = _SUMMARY if extras is None else _SUMMARY.append(pa.field("extras", pa.list_(extras[1])))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, repo, path, text, seen in zip(*(c.to_pylist() for c in batch.columns)):
+                language = language_of(path)
+                digest = xxhash.xxh64_intdigest(f"{repo}\0{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+                for n, (begin, accounts) in enumerate(runs(text, language, piece, run)):
+                    own = (key, seen, digest, repo, language, n, begin, [k[0] for k in accounts], [k[1] for k in accounts], *[[a[i] for a in accounts.values()] for i in range(3)])
+                    rows.append(own if extras is None else (*own, extras[0](text, language) if n == 0 else []))
+            columns = list(zip(*rows)) or [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-def _join(level: str):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        whole = reduce(joined, _maps(rows))
-        return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), *_columns([whole])], ["key", level, "starts", "states", "closes", "opens"])
+    return work
 
-    return run
 
+def _judged(extras: Extras | None):
+    """Rows of a file come together, its deliveries one after another, each in the order of its runs."""
+    fields = [("file_id", pa.int64()), ("invalid", pa.bool_()), ("repo", pa.string()), ("language", pa.string())]
+    schema = pa.schema(fields if extras is None else [*fields, ("extras", pa.list_(extras[1]))])
 
-def closed_files(files: DataFrame, piece: int = PIECE) -> DataFrame:
-    """key, and whether a reader leaves the text in plain code with all brackets closed. files: key, path, text."""
-    # a string goes on where a backslash ends the line: such a line end parts no pieces (both signs are masked, so places stay)
-    marked = files.select("key", "path", "text", F.replace("text", F.lit("\\\n"), F.lit("  ")).alias("ends"))
-    count = F.ceil(F.length("text") / piece).cast("int")
-    pieces = marked.select("key", "path", "text", "ends", F.explode(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).alias("n"))
-    # a piece ends where a line ends: each takes the rest of the line that its last character stands in
-    begin = F.expr(f"if(n = 0, 0, coalesce(nullif(locate('\\n', ends, n * {piece}), 0), length(text)))")
-    end = F.expr(f"coalesce(nullif(locate('\\n', ends, (n + 1) * {piece}), 0), length(text))")
-    parts = pieces.select("key", "path", "n", begin.alias("a"), end.alias("b"), "text")
-    parts = parts.select("key", "path", "n", F.substring(F.col("text"), F.col("a") + 1, F.col("b") - F.col("a")).alias("part"))
-    read = parts.repartition("key", "n").mapInArrow(_read_pieces, f"key bigint, n int, {_MAPS}")
-    first = read.groupBy("key", F.floor(F.col("n") / FIRST_ROUND).cast("int").alias("m")).applyInArrow(_join("n"), f"key bigint, n int, {_MAPS}")
-    whole = first.groupBy("key", F.lit(0).alias("z")).applyInArrow(_join("n"), f"key bigint, n int, {_MAPS}")
-    return whole.select("key", (F.col("states")[0] == "").alias("plain"), ((F.col("closes")[0] == "") & (F.col("opens")[0] == "")).alias("balanced")).select("key", (F.col("plain") & F.col("balanced")).alias("closed"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict | None = None  # the delivery that is being joined; a later one of the same file replaces it
+        out: list[tuple] = []
 
+        def close() -> None:
+            if open_ is not None:
+                own = (open_["key"], not parses(open_["effect"], open_["language"]), open_["repo"], LANGUAGES[".tsx"] if open_["language"] == "tsx" else open_["language"])
+                out.append(own if extras is None else (*own, open_["extras"]))
 
-def _parse(piece: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bad = []
-            for path, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                language = language_of(path)
-                # other long texts come here only after their pieces were summed up; Python's own parser needs no help
-                known_closed = len(text) > piece or language == "python"
-                closed = known_closed or effects(text, "typescript" if language == "tsx" else language, True)[""] == ("", "", "")
-                bad.append(not closed or not valid(text, language))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bad)], ["key", "bad"])
-
-    return run
-
-
-def syntax_flags(source_files: DataFrame, piece: int = PIECE) -> DataFrame:
-    """file_id and ``invalid``, one row per file, for the files whose suffix names a known language.
-
-    Null and empty content is valid, as is content of comments only. Rows without file_id are left out. A file that
-    comes several times counts as its latest row (the greatest content on ties).
+            for row in batch.to_pylist():
+                here = (row["begin"], dict(zip(zip(row["places"], row["states"]), zip(row["tokens"], row["ends"], row["goes_on"]))))
+                if open_ is not None and open_["key"] == row["key"] and open_["digest"] == row["digest"] and open_["seen"] == row["seen"]:
+                    if row["n"] > open_["n"]:  # an exact repeat has the same number
+                        open_["effect"], open_["n"] = joined(open_["effect"], here, row["language"]), row["n"]
+                    continue
+                if open_ is not None and open_["key"] != row["key"]:
+                    close()
+                open_ = {**row, "effect": here}
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return work
+
+
+def judged_files(source_files: DataFrame, piece: int = PIECE, run: int = RUN, extras: Extras | None = None) -> DataFrame:
+    """One row per file: file_id, ``invalid``, repo and language, and the ``extras`` of its text; one pass over the table.
+
+    Only files whose suffix names a known language. Null and empty content is valid, as is content of comments only.
+    Rows without file_id are left out. A file that comes several times counts as its latest row (the greatest digest
+    on ties).
     """
     rows = source_files.where(F.col("file_id").isNotNull() & suffix_language(F.col("file_path")).isNotNull())
-    rows = rows.select(F.col("file_id").alias("key"), F.col("file_path").alias("path"), F.regexp_replace(F.coalesce("content", F.lit("")), "\\r\\n?", "\n").alias("text"), "ingested_at")
-    mapped = (F.length("text") > piece) & (suffix_language(F.col("path")) != "python")
-    short = rows.where(~mapped)
-    flags = spread(short.select("key", "path", "text", "ingested_at"), "key").mapInArrow(_with_time(_parse(piece)), "key bigint, bad boolean, ingested_at timestamp, digest bigint")
-    long = rows.where(mapped)
-    numbered = long.withColumn("own", F.xxhash64("key", "path", "text", "ingested_at"))
-    closed = closed_files(numbered.select(F.col("own").alias("key"), "path", "text").dropDuplicates(["key"]), piece).withColumnsRenamed({"key": "c_key", "closed": "c_closed"})
-    judged = numbered.join(closed, F.col("own") == F.col("c_key"))
-    parsed = judged.where("c_closed").select("key", "path", "text", "ingested_at").mapInArrow(_with_time(_parse(piece)), "key bigint, bad boolean, ingested_at timestamp, digest bigint")
-    open_ = judged.where(~F.col("c_closed")).select("key", F.lit(True).alias("bad"), "ingested_at", F.xxhash64("text").alias("digest"))
-    every = flags.unionByName(parsed).unionByName(open_)
-    return every.groupBy(F.col("key").alias("file_id")).agg(F.max_by("bad", F.struct("ingested_at", "digest")).alias("invalid"))
-
-
-def _with_time(parse):
-    """Adds the delivery time and a digest of the text, by which the latest row of a file is chosen."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    rows = rows.select("file_id", "repo", "file_path", F.coalesce("content", F.lit("")).alias("content"), F.col("ingested_at").cast("string").alias("seen"))
+    ddl, out = _SUMMARY_DDL, "file_id bigint, invalid boolean, repo string, language string"
+    if extras is not None:
+        ddl, out = f"{ddl}, extras array<{extras[2]}>", f"{out}, extras array<{extras[2]}>"
+    summaries = spread(rows, "file_id").mapInArrow(_summarised(piece, run, extras), ddl)
+    met = summaries.repartition("key").sortWithinPartitions("key", F.col("seen").asc_nulls_first(), "digest", "n")
+    return met.mapInArrow(_judged(extras), out)
 
-        for batch in batches:
-            out = next(parse(iter([batch])))
-            digest = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*out.columns, batch.column(3), pa.array(digest, pa.int64())], ["key", "bad", "ingested_at", "digest"])
 
-    return run
+def syntax_flags(source_files: DataFrame, piece: int = PIECE, run: int = RUN) -> DataFrame:
+    """file_id and ``invalid``, one row per file; see :func:`judged_files`."""
+    return judged_files(source_files, piece, run).select("file_id", "invalid")
 
 
 def invalid_rates(source_files: DataFrame) -> DataFrame:
-    """Per repo and language (by suffix): files, invalid ones, their share, also with either or both summed up (null)."""
-    names = source_files.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.min_by(F.struct("repo", "file_path"), F.struct("repo", "file_path")).alias("f"))
-    files = names.select(F.col("file_id").alias("n_file_id"), F.coalesce("f.repo", F.lit("(none)")).alias("repo"), suffix_language(F.col("f.file_path")).alias("language"))
-    joined_ = syntax_flags(source_files).join(files, F.col("file_id") == F.col("n_file_id"))
-    counted = joined_.cube("repo", "language").agg(F.count(F.lit(1)).alias("files"), F.count_if("invalid").alias("invalid"))
+    """Per repo (null: "(none)") and language (by suffix): files, invalid ones, their share, also with either or both summed up (null)."""
+    files = judged_files(source_files).select("file_id", "invalid", F.coalesce("repo", F.lit("(none)")).alias("repo"), "language")
+    counted = files.cube("repo", "language").agg(F.count(F.lit(1)).alias("files"), F.count_if("invalid").alias("invalid"))
     return counted.withColumn("rate", F.col("invalid") / F.col("files"))
 
 

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import warnings
-
-from structmill.llm.grammars import grammar
-from structmill.llm.lexing import LANGUAGES, tokens
-
-
-#: Stands for tokens that no rule names.
-_OTHER = "\ue00f"
+from structmill.llm.lexing import effect, parses, prepared, states
+from structmill.llm.vocabulary import LANGUAGES
 
 
 def language_of(path: str | None) -> str | None:
@@ -19,25 +13,6 @@ def language_of(path: str | None) -> str | None:
 
 
 def valid(text: str, language: str) -> bool:
-    """Statements and declarations are parsed; names and types need not resolve. Blank and comment-only text is valid."""
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    if language == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                compile(text, "file", "exec", dont_inherit=True)
-        except (SyntaxError, ValueError):
-            return False
-        except (RecursionError, MemoryError):  # too deep for the parser, which says nothing about the text
-            return True
-        return True
-    found = tokens(text, language)
-    if found is None:
-        return False
-    known, chars = grammar(language), []
-    for t in found:
-        if t in "()[]{}":
-            chars.append(t)
-        else:
-            chars.append(known.chars.get(t, _OTHER))
-    return all(c == "\n" for c in chars) or known.valid(chars)
+    """The text read in one piece. Names and types need not resolve. Blank and comment-only text is valid."""
+    text = prepared(text, language)
+    return parses(effect(text, 0, language, states(text, language)), language)

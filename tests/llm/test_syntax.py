@@ -1,9 +1,13 @@
+import os
+import warnings
+from functools import reduce
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from structmill.llm.lexing import effects, joined
-from structmill.llm.p3_syntax import invalid_rates, syntax_flags
+from structmill.llm.lexing import effect, joined, parses, pieces, prepared, states
+from structmill.llm.p3_syntax import invalid_rates, runs, syntax_flags
 from structmill.llm.syntax import language_of, valid
 
 GOOD = {
@@ -58,21 +62,99 @@ def test_suffixes():
     assert [language_of(p) for p in ("a/b.PY", "x.tsx", "x.mjs", "noext", "", None)] == ["python", "tsx", "javascript", None, None, None]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["(", ")", "{", "}", "[", "]", "/*", "*/", "`", '"a"', "// x", "a", "\n", "\\", "'''"]), max_size=40), st.integers(1, 39), st.sampled_from(["python", "javascript", "go", "java"]))
-def test_pieces_join_to_the_whole(parts, cut, language):
-    text = "".join(p + ("\n" if p == "// x" else "") for p in parts)
-    lines = text.split("\n")
-    a, b = "\n".join(lines[:cut]) + ("\n" if cut < len(lines) else ""), "\n".join(lines[cut:])
-    whole = effects(text, language, True)[""]
-    assert joined(effects(a, language, True), effects(b, language, False))[""] == whole or whole[0] == "!"
+PARTS = {
+    "python": ["(", ")", "{", "}", "[", "]", "'''", 'f"""', '"""', "f'{", "{{", '"a"', "# x\n", "a", "\n", "\n  ", ":", "'"],
+    "javascript": ["(", ")", "{", "}", "/*", "*/", "`", "${", '"a"', "// x\n", "a", "\n", "<b>", "</b>", "<c x={", "/>", "/r/", ";"],
+    "tsx": ["(", ")", "{", "}", "/*", "*/", "`", "${", "a", "\n", "<b>", "</b>", "<c ", "/>", ";", ":"],
+    "typescript": ["(", ")", "{", "}", "/*", "*/", "`", "${", "a", "\n", "<", ">", "=>", ";", ":"],
+    "go": ["(", ")", "{", "}", "/*", "*/", "`", '"a"', "// x\n", "a", "\n"],
+    "java": ["(", ")", "{", "}", "/*", "*/", '"""', '"a"', "// x\n", "a", "\n", ";"],
+    "rust": ["(", ")", "{", "}", "/*", "*/", '"', 'r#"', '"#', "// x\n", "a", "\n", "'a", ";"],
+}
+
+
+def pieced(text, language, size, tree=False):
+    """The effect of a text from its pieces, joined from the left or pair by pair."""
+    text = prepared(text, language)
+    known = states(text, language)
+    found = [effect(part, begin, language, known) for begin, part in pieces(text, language, size)]
+    while tree and len(found) > 1:
+        found = [reduce(lambda a, b: joined(a, b, language), found[i : i + 2]) for i in range(0, len(found), 2)]
+    return reduce(lambda a, b: joined(a, b, language), found)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.sampled_from(sorted(PARTS)).flatmap(lambda lang: st.tuples(st.just(lang), st.lists(st.sampled_from(PARTS[lang]), max_size=40))), st.integers(1, 30))
+def test_pieces_join_to_the_whole_in_any_order(case, size):
+    language, parts = case
+    text = "".join(parts)
+    whole = pieced(text, language, len(text) + 2)
+    assert pieced(text, language, size) == pieced(text, language, size, tree=True) == whole
+
+
+@pytest.mark.parametrize("language", GOOD)
+def test_pieces_change_no_verdict(language):
+    for name in ("tsx", language) if language == "typescript" else (language,):
+        for text in GOOD[language] + BAD[language]:
+            assert len({parses(pieced(text, name, size, tree), name) for size in (3, 17, 10_000) for tree in (True, False)}) == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_files_at_any_piece_size_and_pythons_own_parser():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/source_files.parquet", columns=["file_id", "file_path", "content"]).to_pylist()
+    flags = {}
+    for key, (language, text) in {r["file_id"]: (language_of(r["file_path"]), r["content"] or "") for r in rows}.items():
+        verdicts = {parses(reduce(lambda a, b: joined(a, b, language), runs(text, language, piece=size, run=3)), language) for size in (64, 1024, 65_536)}
+        assert len(verdicts) == 1
+        flags[key] = verdicts.pop()
+        if language == "python":
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                try:
+                    compile(text, "file", "exec", dont_inherit=True)
+                    want = True
+                except (SyntaxError, ValueError):
+                    want = False
+            assert flags[key] == want, key
+    assert 0 < sum(flags.values()) < len(flags)
+
+
+LINES_GO_ON = ["a\n  .b()\n  .c()\n", "x = a\n  && b\n  ? c\n  : d\n", "if (a)\n{\n b()\n}\nelse\n{ c() }\n", "function f()\n{\n}\n", "let y\n  = 3\n", "class A\nextends B\n{\n  m()\n  { }\n}\n", "switch (a)\n{ default: }\ntry\n{ }\ncatch (e)\n{ }\n", "const a = 1\nlet b = html`a ${b} c`\na()\n{ b() }\n"]
+
+
+def test_script_lines_that_go_on():
+    for language in ("javascript", "typescript", "tsx"):
+        assert [t for t in LINES_GO_ON if not valid(t, language)] == []
+        assert not valid("a b\n", language) and not valid("function f()\n", "javascript")
+    assert valid("type A =\n  | 'a'\n  | 'b'\ninterface B\n{\n  c: 1\n}\n", "typescript")
+
+
+OVER_LINES = {
+    "rust": ["/* a /* b */ ( c */ fn f() {}\n", 'fn f() { g("a\n(b"); }\n', 'fn f() { g(r#"a\n("b"#); }\n'],
+    "javascript": [
+        "const e = <p>one (two</p>;\n", "const e = (\n  <ul a='x>y' {...b}>\n    {c.map((d) => (\n      <li key={d}>it's {d} :(</li>\n    ))}\n  </ul>\n);\n", "const t = `a ${b.map(\n  (c) => {\n    return `${c}(`;\n  }\n)} }`;\n",
+        "x = a / b;\ny = c\n  / d / e;\n", 'const e = <><A /><B.C d="(" /></>;\n', "f(a /* b\nc */ / d);\n",
+    ],
+    "tsx": ["const f = <T,>(x: T) => x;\nconst e = <p>one (two</p>;\n", "const f = <T extends U>(x: T): T => x;\n"],
+    "python": ['x = f"{d["("]}"\n', "x = f'''{\n  a(\n    f'{b}(')\n} {{ {c:>{w}} ('''\n", "x = {\n  'a': 1,\n}\n", "x = 'a\\\n('\n", "if a:\n\tif b:\n\t\tc()\n\td()\n"],
+    "java": ['class A { String s = """\n  (\n  """; }\n'],
+    "go": ["package p\n\nvar s = `\n(\n`\n"],
+}
+CUT_OPEN = {
+    "rust": ["/* a /* b */ fn f() {}\n"],
+    "javascript": ["const e = <p>one</p></p>;\n", "const e = <p>{a(}</p>;\n", "const t = `a ${b(} c`;\n"],
+    "python": ["x = f'{a'\n", "x = f'''{a(}'''\n", "if a:\n    b()\n  c()\n", "  x = 1\n"],
+}
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("(){}[]ab\n", max_size=8), min_size=3, max_size=3))
-def test_joining_is_associative(parts):
-    a, b, c = (effects(p, "go", i == 0) for i, p in enumerate(parts))
-    assert joined(joined(a, b), c) == joined(a, joined(b, c))
+def test_what_goes_on_over_lines():
+    for cases, want in ((OVER_LINES, True), (CUT_OPEN, False)):
+        for language, texts in cases.items():
+            for text in texts:
+                for size in (1, 5, 10_000):
+                    assert parses(pieced(text, language, size), language) == want, (language, text, size)
 
 
 FILES = "file_id bigint, repo string, file_path string, content string, ingested_at timestamp"
@@ -84,7 +166,7 @@ def test_job(spark):
     df = spark.createDataFrame(rows, FILES).selectExpr("*", "1 AS key", "2 AS text", "3 AS n")
     want = {1: False, 2: True, 3: False, 5: False, 6: True, 7: False, 8: False}
     assert {r.file_id: r.invalid for r in syntax_flags(df).collect()} == want
-    assert {r.file_id: r.invalid for r in syntax_flags(df, piece=100).collect()} == want
+    assert {r.file_id: r.invalid for r in syntax_flags(df, piece=100, run=2).collect()} == want
     assert syntax_flags(spark.createDataFrame([], FILES)).count() == 0
     total = invalid_rates(df).where("repo IS NULL AND language IS NULL").first()
     assert (total.files, total.invalid) == (7, 2)
