@@ -2,9 +2,13 @@
 
 How a text would go on is learnt from the corpus: every trigram of tokens is counted inside paragraphs and at
 their ends. A text whose last trigram stands often inside and almost never at an end stops within a sentence; one
-whose last token is only the beginning of tokens that often follow the same two stops within a word. Only
-built-in columns are used. Paragraphs that their form closes (a full stop, a signature, a link, a whole table
-row, a closed fence) are settled without the counts, as are fences, code spans and brackets left open.
+whose last token is only the beginning of tokens that often follow the same two stops within a word. Counts and
+verdicts are SQL. The trigrams speak first; what they accuse is acquitted if its form closes it (a full stop, a
+signature, a link, a whole table row, a closed fence), and what they haven't seen is judged by its form alone: fences,
+code spans and brackets left open, broken bytes, prose without an end.
+
+The counts are met by equality only: with the trigram itself, and, for tokens cut short, with counts summed up per
+proper prefix of the third token. So two words that everything follows cost one row per prefix, not one per pair.
 """
 
 from __future__ import annotations
@@ -22,7 +26,10 @@ MOST_AT_END = 0.05
 #: A word goes on seldom from its two predecessors if it follows them in less than this share.
 SELDOM = 0.08
 
-_TOKEN = r"`[^`\n]*`|[0-9]+(?:[.:][0-9]+)*|[\p{L}\p{M}_]+|[^\s\p{L}\p{M}0-9_]"
+#: Letters of one token: longer runs of letters are several tokens, so a token has few prefixes.
+LONGEST = 48
+
+_TOKEN = rf"`[^`\n]*`|[0-9]+(?:[.:][0-9]+)*|[\p{{L}}\p{{M}}_]{{1,{LONGEST}}}|[^\s\p{{L}}\p{{M}}0-9_]"
 _TRAIL = r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\.\.\.+|…)\s*$"
 
 
@@ -43,14 +50,51 @@ def trigram_counts(documents: DataFrame) -> DataFrame:
     A text counts once, however many rows and ids it has; line ends and blanks at the end make no other text of it.
     """
     texts = documents.select(_flat(F.col("text")).alias("t")).distinct()
-    paragraphs = texts.select(F.explode(F.split("t", r"\n\s*\n")).alias("p"))
-    tokens = paragraphs.select(_tokens(F.col("p")).alias("w")).where(F.size("w") > 2)
-    grams = tokens.select(
-        F.explode(
-            F.expr("transform(sequence(0, size(w) - 3), i -> struct(concat_ws(' ', w[i], w[i + 1]) AS ab, w[i + 2] AS c, i = size(w) - 3 AS last))")
-        ).alias("g")
-    ).select("g.*")
-    return grams.groupBy("ab", "c").agg(F.count_if(~F.col("last")).alias("inside"), F.count_if("last").alias("at_end"))
+    tokens = texts.select(F.explode(F.split("t", r"\n\s*\n")).alias("p")).select(_tokens(F.col("p")).alias("w"))
+    return documents.sparkSession.sql(_COUNTS, tokens=tokens)
+
+
+_COUNTS = """
+SELECT g.ab, g.c, count_if(NOT g.last) AS inside, count_if(g.last) AS at_end
+FROM (
+  SELECT explode(transform(sequence(0, size(w) - 3), i -> struct(concat_ws(' ', w[i], w[i + 1]) AS ab, w[i + 2] AS c, i = size(w) - 3 AS last))) AS g
+  FROM {tokens} WHERE size(w) > 2
+) GROUP BY g.ab, g.c"""
+
+#: Of each last trigram: its counts without its own ending, and those of all tokens that begin with its last one.
+_SEEN = """
+WITH tails AS (SELECT ab, c, max(listing) AS listing FROM {ends} WHERE c IS NOT NULL GROUP BY ab, c),
+near AS (SELECT n.ab, n.c, n.inside, n.at_end FROM {counts} n LEFT SEMI JOIN tails t ON n.ab = t.ab),
+begun AS (
+  SELECT ab, part, sum(n) AS n
+  FROM (SELECT ab, inside + at_end AS n, explode(transform(sequence(0, length(c) - 1), k -> substring(c, 1, k))) AS part FROM near)
+  GROUP BY ab, part
+)
+SELECT t.ab AS s_ab, t.c AS s_c, coalesce(n.inside, 0) AS inside, greatest(coalesce(n.at_end, 0) - 1, 0) AS at_end, coalesce(b.n, 0) AS longer, coalesce(a.n, 0) AS any
+FROM tails t
+LEFT JOIN near n ON t.ab = n.ab AND t.c = n.c
+LEFT JOIN begun b ON t.ab = b.ab AND t.c = b.part
+LEFT JOIN (SELECT ab, n FROM begun WHERE part = '') a ON t.listing AND t.ab = a.ab"""
+
+_VERDICTS = """
+WITH judged AS (
+  SELECT e.*, coalesce(s.inside, 0) AS inside, coalesce(s.at_end, 0) AS at_end, coalesce(s.longer, 0) AS longer, coalesce(s.any, 0) AS any
+  FROM {ends} e LEFT JOIN {seen} s ON e.ab = s.s_ab AND e.c = s.s_c
+), whys AS (
+  SELECT doc_id, CASE
+    WHEN closed AND NOT dots AND NOT fence AND NOT opened AND NOT broken THEN NULL
+    -- "..., kernel ...": an author trails off with a word that seldom goes on from here
+    WHEN listing AND NOT bracketed AND NOT fence AND NOT opened AND inside + longer < {seldom} * any + {least} THEN NULL
+    WHEN inside >= {least} AND at_end <= {most} * inside THEN 'sentence'
+    WHEN longer >= {least} AND inside + at_end <= {most} * longer THEN 'word'
+    WHEN fence OR opened THEN 'block'
+    WHEN broken THEN 'bytes'
+    WHEN dots AND bracketed THEN 'form'
+    WHEN at_end > 0 THEN NULL
+    WHEN dots OR prose THEN 'form'
+  END AS why FROM judged
+)
+SELECT doc_id, min(why) IS NOT NULL AS truncated, min(why) AS why FROM whys GROUP BY doc_id"""
 
 
 def _count(text: Column, part: str) -> Column:
@@ -125,41 +169,8 @@ def truncated(documents: DataFrame, least_inside: int = LEAST_INSIDE, most_at_en
     documents = spread(documents.select("doc_id", "text"), "doc_id", "text")
     counts = cut(trigram_counts(documents.where(F.col("text").isNotNull()).select("text")))
     ends = cut(endings(documents))
-    unsettled = ends.where(~F.col("fence") & ~F.col("broken") & ~F.col("opened") & (~F.col("closed") | F.col("dots")))
-    tails = unsettled.select("ab", "c").distinct()
-    near = counts.withColumnsRenamed({"ab": "n_ab", "c": "n_c"})
-    same = F.col("c") == F.col("n_c")
-    longer = F.col("n_c").startswith(F.col("c")) & ~same
-    seen = (
-        tails.join(near, F.col("ab") == F.col("n_ab"), "left")
-        .groupBy("ab", "c")
-        .agg(
-            F.coalesce(F.sum(F.when(same, F.col("inside"))), F.lit(0)).alias("inside"),
-            F.greatest(F.coalesce(F.sum(F.when(same, F.col("at_end"))), F.lit(0)) - 1, F.lit(0)).alias("at_end"),
-            F.coalesce(F.sum(F.when(longer, F.col("inside") + F.col("at_end"))), F.lit(0)).alias("longer"),
-            F.coalesce(F.sum(F.col("inside") + F.col("at_end")), F.lit(0)).alias("any"),
-        )
-        .withColumnsRenamed({"ab": "s_ab", "c": "s_c"})
-    )
-    judged = ends.join(seen, (F.col("ab") == F.col("s_ab")) & (F.col("c") == F.col("s_c")), "left")
-    inside, at_end, longer_n = (F.coalesce(F.col(x), F.lit(0)) for x in ("inside", "at_end", "longer"))
-    sentence = (inside >= least_inside) & (at_end <= most_at_end * inside)
-    word = (longer_n >= least_inside) & (inside + at_end <= most_at_end * longer_n)
-    known_end = (at_end > 0) & (at_end > most_at_end * inside)
-    # "..., kernel ...": an author trails off with a word that seldom goes on from here
-    trails_off = F.col("listing") & (inside + longer_n < seldom * F.coalesce("any", F.lit(0)) + least_inside)
-    why = (
-        F.when(F.col("fence") | F.col("opened"), "block")
-        .when(F.col("broken"), "bytes")
-        .when(F.col("dots") & F.col("bracketed"), "form")
-        .when(F.col("closed") & ~F.col("dots"), None)
-        .when(trails_off, None)
-        .when(sentence, "sentence")
-        .when(word, "word")
-        .when(known_end, None)
-        .when(F.col("dots") | F.col("prose"), "form")
-    )
-    return judged.select("doc_id", why.alias("why")).groupBy("doc_id").agg(F.min("why").alias("why")).select("doc_id", F.col("why").isNotNull().alias("truncated"), "why")
+    seen = documents.sparkSession.sql(_SEEN, ends=ends, counts=counts)
+    return documents.sparkSession.sql(_VERDICTS, ends=ends, seen=seen, seldom=seldom, least=least_inside, most=most_at_end)
 
 
 def source_rates(documents: DataFrame) -> DataFrame:

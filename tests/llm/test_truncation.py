@@ -8,7 +8,7 @@ WHOLE = [
 ]
 CUT = [
     (SENTENCE.format(7)[:40], "sentence or word"), ("Ends well. The branch service keeps one", "sentence"), ("Ends well. The branch service keeps one repl", "word"), ("Ends well.\n\n```python\ndef f(x):\n    return", "block"), ("Ends well.\n\n- `src/a/b.py`\n- `src/a/c.", "block"),
-    ("Ends well.\n\n| a | b |\n|---|---|\n| `x` | 1", "block"), ("Ends well. The branch service ke�", "bytes"), ("Ends well. The branch service keeps one ...", "sentence"), ("Ends well. The branch service ke [...]", "form"), ("Ends well.\n\n(As said above. It goes", "block"), ("Unheard words stand here. Nobody knows whether zebras", "form"),
+    ("Ends well.\n\n| a | b |\n|---|---|\n| `x` | 1", "block"), ("Ends well. The branch service ke�", "bytes or word"), ("Ends well. The branch service keeps one ...", "sentence"), ("Ends well. The branch service ke [...]", "form or word"), ("Ends well. Unheard zeb�", "bytes"), ("Ends well. Unheard zebras [...]", "form"), ("Ends well.\n\n(As said above. It goes", "block"), ("Unheard words stand here. Nobody knows whether zebras", "form"),
 ]
 
 
