@@ -1,48 +1,45 @@
-"""Problem 5: functions paired with their documentation."""
+"""Problem 5: functions paired with their documentation.
 
-from __future__ import annotations
+The files are read once for both questions: whether they parse (problem 3) and which functions they document.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structmill.llm.p3_syntax import suffix_language, syntax_flags
-from structmill.llm.pairs import documented_functions, trivial
-from structmill.llm.syntax import language_of
-from structmill.sources.tables import spread, table
+from structmill.llm.p3_syntax import judged_files
+from structmill.llm.pairs import Pair, documented_functions, trivial
+from structmill.sources.tables import table
 
-_SCHEMA = "file_id bigint, line int, name string, kind string, signature string, documentation string"
+_PAIR = pa.struct([("line", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("signature", pa.string()), ("documentation", pa.string()), ("code", pa.string())])
+_PAIR_DDL = "struct<line: int, name: string, kind: string, signature: string, documentation: string, code: string>"
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
-    for batch in batches:
-        rows: list[tuple] = []
-        for file_id, path, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            language = language_of(path)
-            for p in documented_functions(text, language):
-                if not trivial(p.documentation, p.name, language):
-                    rows.append((file_id, *p))
-        columns = list(zip(*rows)) or [[]] * len(types)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["file_id", "line", "name", "kind", "signature", "documentation"])
+def _pairs(text: str, language: str) -> list[Pair]:
+    return [p for p in documented_functions(text, language) if not trivial(p.documentation, p.name, language)]
 
 
 def documented_pairs(source_files: DataFrame) -> DataFrame:
     """Functions and methods with a body and non-trivial documentation, in the files that parse.
 
-    file_id, line (from 1) of the name, name, kind (function | method), signature, documentation. Repeated rows of
-    a file give each function once. Null and empty content, unknown suffixes and rows without file_id give nothing.
+    file_id, line (from 1) of the name, name, kind (function | method), signature, documentation, and the code from
+    the signature to the end of the body, in Python without the docstring. A file that comes several times counts as
+    its latest row. Null and empty content, unknown suffixes and rows without file_id give nothing.
     """
-    invalid = syntax_flags(source_files).where("invalid").select(F.col("file_id").alias("bad_file_id"))
-    rows = source_files.where(F.col("file_id").isNotNull() & (F.length("content") > 0) & suffix_language(F.col("file_path")).isNotNull())
-    found = spread(rows.select("file_id", "file_path", "content"), "file_id").mapInArrow(_extract, _SCHEMA)
-    return found.join(invalid, F.col("file_id") == F.col("bad_file_id"), "left_anti").dropDuplicates(["file_id", "line", "name"])
+    files = judged_files(source_files, extras=(lambda text, language: [p._asdict() for p in _pairs(text, language)], _PAIR, _PAIR_DDL))
+    return files.where(~F.col("invalid")).select("file_id", F.explode(F.array_distinct("extras")).alias("p")).select("file_id", "p.*")
+
+
+def documented_lines(source_files: DataFrame) -> DataFrame:
+    """file_id and line of :func:`documented_pairs`, once each; nothing else is shuffled."""
+    files = judged_files(source_files, extras=(lambda text, language: [p.line for p in _pairs(text, language)], pa.int32(), "int"))
+    return files.where(~F.col("invalid")).select("file_id", F.explode(F.array_distinct("extras")).alias("line"))
 
 
 def p5_found(spark: SparkSession, data_dir: str) -> DataFrame:
-    return documented_pairs(table(spark, data_dir, "source_files")).select("file_id", "line").distinct()
+    return documented_lines(table(spark, data_dir, "source_files"))
 
 
 def p5_pairs(spark: SparkSession, data_dir: str) -> DataFrame:

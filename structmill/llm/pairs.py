@@ -20,6 +20,7 @@ class Pair(NamedTuple):
     kind: str
     signature: str
     documentation: str
+    code: str
 
 
 _STRINGS = r'"(?:[^"\\\n]|\\.)*"|' + r"'(?:[^'\\\n]|\\.)*'"
@@ -38,20 +39,25 @@ _TYPE = r"(?:[^(){}\[\];=<>,/\"']|(?&round)|(?&square)|(?&angle)|(?&curly)(?=\s*
 _NOT_A_NAME = r"(?!(?:if|for|while|switch|catch|function|return|with|do|else|new|typeof|await|class|throw|case|super|import)\b)"
 _ARROW_TYPE = r"(?:[^(){}\[\];=<>,/\"']|(?&round)\s*=>|(?&round)|(?&square)|(?&angle)|(?&curly)(?=\s*[\[|&=]))++"
 _RESULT = rf"(?:\s*:\s*{_TYPE})?"
+#: What an arrow that opens no block returns: up to the end of the statement or list item; lines go on with an operator.
+_RETURNED = rf"(?:(?&round)|(?&square)|(?&curly)|{_SCRIPT_STRINGS}|=>|[^\s()\[\]{{}};,\"'`]|[^\S\n]|\n(?=\s*[.?:&|+*/=]))++"
+_BODY = r"(?=(?P<body>(?&curly)))"
+_ARROW_BODY = rf"(?=(?P<body>(?&curly)|(?=[^\s{{{{]){_RETURNED}))"
 _ARROW = rf"(?:async\s*)?(?:(?&angle)?\s*(?&round)(?:\s*:\s*{_ARROW_TYPE})?|[\w$]+)\s*=>\s*"
 
 SCRIPT = regex.compile(
     _nesting(_SCRIPT_STRINGS, _NOTES)
     + rf"""(?P<doc>/\*\*(?!/)(?:(?!\*/).)*+\*/)(?:\s|//[^\n]*|/\*(?!\*).*?\*/|@[\w$.]+(?&round)?)*+
     (?P<sig>(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:
-        (?P<function>(?:async\s+)?function\s*\*?\s*)(?P<name>[\w$]+)\s*(?&angle)?\s*(?&round){_RESULT}\s*(?=(?&curly))
-      | (?P<bound>(?:const|let|var)\s+)(?P<name>[\w$]+)(?:\s*:\s*{_TYPE})?\s*=\s*(?:(?:async\s+)?function\s*\*?\s*[\w$]*\s*(?&angle)?\s*(?&round){_RESULT}\s*(?=(?&curly))|{_ARROW}(?=(?&curly)|[^\s{{]))
+        (?P<function>(?:async\s+)?function\s*\*?\s*)(?P<name>[\w$]+)\s*(?&angle)?\s*(?&round){_RESULT}\s*{_BODY}
+      | (?P<bound>(?:const|let|var)\s+)(?P<name>[\w$]+)(?:\s*:\s*{_TYPE})?\s*=\s*(?:(?:async\s+)?function\s*\*?\s*[\w$]*\s*(?&angle)?\s*(?&round){_RESULT}\s*{_BODY}|{_ARROW}{_ARROW_BODY})
       | (?:(?:public|private|protected|static|readonly|abstract|override|async|get|set|accessor)\s+)*+\*?\s*{_NOT_A_NAME}(?P<name>[\#\w$]+)\s*(?:
-            \??(?&angle)?\s*(?&round){_RESULT}\s*(?=(?&curly))
-          | (?:[?!]?\s*:\s*{_TYPE})?\s*=\s*{_ARROW}(?=(?&curly)|[^\s{{])
-          | \s*:\s*(?:(?:async\s+)?function\s*\*?\s*[\w$]*\s*(?&round)\s*(?=(?&curly))|{_ARROW}(?=(?&curly)|[^\s{{]))
+            \??(?&angle)?\s*(?&round){_RESULT}\s*{_BODY}
+          | (?:[?!]?\s*:\s*{_TYPE})?\s*=\s*{_ARROW}{_ARROW_BODY}
+          | \s*:\s*(?:(?:async\s+)?function\s*\*?\s*[\w$]*\s*(?&round)\s*{_BODY}|{_ARROW}{_ARROW_BODY})
       )
     ))
+    | (?:@[\w.$]+\s*(?&round)?|\b(?:public|private|protected|static|abstract|async|export|default)\b)\s*/\*\*(?!/)(?:(?!\*/).)*+\*/
     | {_NOTES} | {_SCRIPT_STRINGS}""",
     regex.S | regex.X,
 )
@@ -62,7 +68,8 @@ JAVA = regex.compile(
     + rf"""(?P<doc>/\*\*(?!/)(?:(?!\*/).)*+\*/)(?:\s|//[^\n]*|/\*(?!\*).*?\*/)*+
     (?P<sig>(?:(?:{_MARK}|(?:public|private|protected|static|final|abstract|synchronized|native|strictfp|default)\b|//[^\n]*|/\*.*?\*/)\s*)*+(?:(?&angle)\s*)?
         (?:(?!(?:new|return|throw|else|class|interface|enum|record)\b)[\w.]+(?:\s*(?&angle))?(?:\.\w+)*(?:\s*(?:{_MARK}\s*)?\[\s*\])*\s+)?(?!(?:if|for|while|switch|catch|try|synchronized)\b)(?P<name>\w+)\s*(?&round)\s*
-        (?:\[\s*\]\s*)*(?:throws\s+[\w.,\s<>@]+?)?\s*(?=(?&curly)))
+        (?:\[\s*\]\s*)*(?:throws\s+[\w.,\s<>@]+?)?\s*(?=(?P<body>(?&curly))))
+    | (?:@[\w.]+\s*(?&round)?|\b(?:public|private|protected|static|final|abstract|synchronized|native|default)\b)\s*/\*\*(?!/)(?:(?!\*/).)*+\*/
     | {_NOTES} | \"\"\"(?:[^\\]|\\.)*?\"\"\" | {_STRINGS}""",
     regex.S | regex.X,
 )
@@ -70,7 +77,7 @@ JAVA = regex.compile(
 GO = regex.compile(
     _nesting(r'"(?:[^"\\\n]|\\.)*"|`[^`]*`|' + r"'(?:[^'\\\n]|\\.)+'", _NOTES)
     + rf"""(?m:^)(?P<doc>(?:[ \t]*+(?://[^\n]*|/\*(?:(?!\*/).)*+\*/[ \t]*+(?://[^\n]*)?)\n)++)
-    (?P<sig>func\s*(?P<recv>(?&round)\s*)?(?P<name>\w+)\s*(?:(?&square)\s*)?(?&round)\s*(?:(?&round)|[\w.*\[\]<\-\s]|(?&square)|(?:func\s*(?&round))|(?:interface|struct)\s*(?&curly))*?\s*(?=(?&curly)\s*?(?:\n|;|//|/\*|\Z)))
+    (?P<sig>func\s*(?P<recv>(?&round)\s*)?(?P<name>\w+)\s*(?:(?&square)\s*)?(?&round)\s*(?:(?&round)|[\w.*\[\]<\-\s]|(?&square)|(?:func\s*(?&round))|(?:interface|struct)\s*(?&curly))*?\s*(?=(?P<body>(?&curly))\s*?(?:\n|;|//|/\*|\Z)))
     | {_NOTES} | "(?:[^"\\\n]|\\.)*" | `[^`]*` | '(?:[^'\\\n]|\\.)+'""",
     regex.S | regex.X,
 )
@@ -87,16 +94,15 @@ RUST = regex.compile(
 
 _PY_STRING = r"(?:'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\")"
 PYTHON = regex.compile(
-    rf"""(?(DEFINE)(?P<round>[(\[{{](?:[^()\[\]{{}}\"'\#]|{_PY_STRING}|\#[^\n]*|(?&round))*+[)\]}}]))
+    rf"""(?(DEFINE)(?P<round>[(\[{{](?:[^()\[\]{{}}\"'\#]|{_PY_STRING}|\#[^\n]*|(?&round))*+[)\]}}])(?P<line>(?:[^\n\"'\#()\[\]{{}}\\]|{_PY_STRING}|\#[^\n]*|(?&round)|\\.)*+))
     (?m:^)(?P<indent>[ \t]*+)(?P<sig>(?:async[ \t]+)?def[ \t]+(?P<name>\w+)[ \t]*(?:(?&round)[ \t]*)?(?&round)[ \t]*(?:->(?:[^:\n\"'()\[\]{{}}]|{_PY_STRING}|(?&round))+)?)
     :[ \t]*(?:\#[^\n]*)?(?:\n[ \t]*(?:\#[^\n]*)?)*+(?P<doc>(?:[rRuUbBfFtT]{{0,2}}{_PY_STRING}(?:[ \t]|\\\n)*+)++)(?=\n|;|\#|\Z)
+    (?=(?P<rest>(?&line)(?:\n(?:[ \t]*+(?=\#|\n|\Z)|(?P=indent)[ \t]++)(?&line))*+))
     | \#[^\n]* | [rRuUbBfFtT]{{0,2}}{_PY_STRING}""",
     regex.S | regex.X,
 )
 _PY_PART = regex.compile(rf"(?P<prefix>[rRuUbBfFtT]{{0,2}}){_PY_STRING}", regex.S)
 
-_PREFIXED = regex.compile(r"(?:@[\w.$]+\s*(?:\((?:[^()]|\([^()]*\))*\))?|\b(?:public|private|protected|static|final|abstract|synchronized|native|async|export|default))\s*$")
-
 
 def _block(comment: str) -> str:
     """Text of a /** */ or /* */ comment without its frame."""
@@ -117,7 +123,7 @@ def _python(text: str) -> Iterator[Pair]:
                 doc = ast.literal_eval(f"({m['doc']})")
         except (SyntaxError, ValueError):
             continue
-        yield Pair(text.count("\n", 0, m.start("name")) + 1, m["name"], "method" if m["indent"] else "function", m["sig"].strip(), doc.strip())
+        yield Pair(text.count("\n", 0, m.start("name")) + 1, m["name"], "method" if m["indent"] else "function", m["sig"].strip(), doc.strip(), (text[m.start("sig") : m.start("doc")].rstrip() + text[m.end("doc") : m.end("rest")]).rstrip())
 
 
 def _documented(pattern: regex.Pattern, text: str) -> Iterator[Pair]:
@@ -125,15 +131,11 @@ def _documented(pattern: regex.Pattern, text: str) -> Iterator[Pair]:
     at = 0
     while m := pattern.search(text, at):
         at = m.end()
-        if not m.captures("name"):
-            if m[0].startswith("/**"):  # documentation of something else
-                at = m.end()
-            continue
-        if _PREFIXED.search(text, max(0, m.start() - 400), m.start()):
+        if not m.captures("name"):  # documentation of something else, or after what it should stand before
             continue
         function = pattern is SCRIPT and (m["function"] is not None or m["bound"] is not None)
         name = m.captures("name")[-1]
-        yield Pair(text.count("\n", 0, m.starts("name")[-1]) + 1, name, "function" if function else "method", m["sig"].strip(), _block(m["doc"]))
+        yield Pair(text.count("\n", 0, m.starts("name")[-1]) + 1, name, "function" if function else "method", m["sig"].strip(), _block(m["doc"]), text[m.start("sig") : m.ends("body")[-1]])
 
 
 def _go(text: str) -> Iterator[Pair]:
@@ -146,7 +148,7 @@ def _go(text: str) -> Iterator[Pair]:
                 doc.append(c[2].strip())
             elif not regex.match(r"(?:line |[a-z0-9]+:[a-z0-9]|export |extern )", c[1]):  # a directive is no text
                 doc.append(c[1].strip())
-        yield Pair(text.count("\n", 0, m.start("name")) + 1, m["name"], "method" if m["recv"] else "function", m["sig"].strip(), "\n".join(doc).strip())
+        yield Pair(text.count("\n", 0, m.start("name")) + 1, m["name"], "method" if m["recv"] else "function", m["sig"].strip(), "\n".join(doc).strip(), text[m.start("sig") : m.end("body")])
 
 
 def _rust(text: str) -> Iterator[Pair]:
@@ -168,7 +170,7 @@ def _rust(text: str) -> Iterator[Pair]:
         if not doc:
             continue
         method = any(a < m.start("sig") < b for a, b in implements)
-        yield Pair(text.count("\n", 0, m.start("name")) + 1, m["name"], "method" if method else "function", m["sig"].strip(), "\n".join(doc).strip())
+        yield Pair(text.count("\n", 0, m.start("name")) + 1, m["name"], "method" if method else "function", m["sig"].strip(), "\n".join(doc).strip(), text[m.start("sig") : m.end("body")])
 
 
 _RUST_BLOCKS = regex.compile(_nesting(_RUST_STRINGS, _NOTES) + r"(?m:^)[ \t]*(?:pub\s+)?(?:unsafe\s+)?(?:impl|trait)\b[^{};]*(?&curly)", regex.S)

@@ -42,3 +42,22 @@ def test_job(spark):
     df = spark.createDataFrame(rows, schema).selectExpr("*", "1 AS line", "2 AS name")
     assert sorted((r.file_id, r.line) for r in documented_pairs(df).collect()) == [(1, 1), (6, 40001)]
     assert documented_pairs(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_the_code_is_the_whole_function():
+    code = lambda text, language: [p.code for p in documented_functions(text, language)]
+    assert code('class A:\n    def f(a):\n        """Says it."""\n        s = """\nnot the end\n"""\n        if a:\n\n            # c\n            return (\n1)\n        return s\n\n    x = 1\n', "python") == ['def f(a):\n        s = """\nnot the end\n"""\n        if a:\n\n            # c\n            return (\n1)\n        return s']
+    assert code("/** Doc. */\nconst f = (a) =>\n  a.map((x) => ({ x, y: [1, 2] }))\n    .filter(Boolean);\ng();\n", "javascript") == ["const f = (a) =>\n  a.map((x) => ({ x, y: [1, 2] }))\n    .filter(Boolean)"]
+    assert code('/** Doc. */\nfunction f() { const s = "}"; return `${"}"}}`; }\nrest();\n', "typescript") == ['function f() { const s = "}"; return `${"}"}}`; }']
+    assert code('class A {\n  /** Doc. */\n  int f() { char c = \'}\'; /* } */ return 1; }\n  int g() { }\n}\n', "java") == ["int f() { char c = '}'; /* } */ return 1; }"]
+    assert code("// Doc of f.\nfunc f() int {\n\ts := `}`\n\treturn 1\n}\n\nvar x = 1\n", "go") == ["func f() int {\n\ts := `}`\n\treturn 1\n}"]
+    assert code('/// Doc.\nfn f() -> i32 { let s = "}"; 1 }\nfn g() {}\n', "rust") == ['fn f() -> i32 { let s = "}"; 1 }']
+
+
+def test_a_comment_behind_an_annotation_of_any_length_documents_nothing():
+    for n in (1, 200):
+        marks = ", ".join(f'@R(code = {i}, text = "x)")' for i in range(n))
+        java = f"class A {{\n  @Responses({{{marks}}}) /** Late. */\n  int late() {{ return 1; }}\n  /** Early. */ @Responses({{{marks}}}) int early() {{ return 2; }}\n}}\n"
+        assert [p.name for p in documented_functions(java, "java")] == ["early"]
+        script = f"class A {{\n  @dec({{ a: [{marks.replace('@R', 'r').replace(' = ', ' + ')}] }}) /** Late. */\n  late() {{ }}\n  /** Early. */\n  early() {{ }}\n}}\n"
+        assert [p.name for p in documented_functions(script, "typescript")] == ["early"]
