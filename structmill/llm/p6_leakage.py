@@ -1,37 +1,43 @@
 """Problem 6: passages of held-out tasks inside a corpus.
 
 The tasks become a generalised suffix automaton over their words. Corpus texts are streamed through it in their
-own partitions: one step per word keeps the longest run that also stands in some task. No corpus row is shuffled.
+own partitions: one step per word keeps the longest run that also stands in some task. No corpus row is shuffled but
+those with leaks.
+
+The automaton is bounded: more tasks than one block holds are done block after block, each held against the whole
+corpus; the driver and the executors hold one block at a time. Spans are collected over all blocks before a document is
+judged, so the size of the blocks changes no result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structmill.llm.automaton import SuffixAutomaton
 from structmill.llm.words import placed_words, words
-from structmill.sources.tables import table
+from structmill.sources.tables import cut, table
 
 #: Words in a row that make a leak.
 LEAST_WORDS = 12
-#: Characters of task text in one automaton. More tasks are done in blocks, each held against the whole corpus.
-BLOCK_CHARS = 20_000_000
+#: Characters of task text in one automaton, about 170,000 words; an automaton takes some 700 bytes a word.
+BLOCK_CHARS = 1_000_000
 #: Spans of more words, or a larger share of a document's words, drop the document; others are cut out.
 DROP_WORDS, DROP_SHARE = 120, 0.5
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _automaton(texts: tuple[tuple[int, str], ...], least: int) -> SuffixAutomaton:
     return SuffixAutomaton(((item, words(text)) for item, text in texts), least)
 
 
 def _task_blocks(tasks: DataFrame, block_chars: int) -> Iterator[tuple[tuple[int, str], ...]]:
-    """Both texts of each task, in blocks of a bounded size."""
+    """Both texts of each task, in blocks of about ``block_chars`` characters; one block is collected at a time."""
     size = tasks.agg(F.coalesce(F.sum(F.coalesce(F.length("instruction"), F.lit(0)) + F.coalesce(F.length("reference_answer"), F.lit(0))), F.lit(0))).first()[0]
     blocks = 1 + size // block_chars
     for b in range(blocks):
@@ -39,19 +45,34 @@ def _task_blocks(tasks: DataFrame, block_chars: int) -> Iterator[tuple[tuple[int
         yield tuple(sorted({(r[0], text) for r in rows if r[0] is not None for text in r[1:] if text}))
 
 
-def _scan(shared, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(shared.value, least)
-        for batch in batches:
-            docs, items, longest = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for item, n in automaton.matches(words(text))[0].items():
-                    docs.append(doc)
-                    items.append(item)
-                    longest.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int32()), pa.array(longest, pa.int32())], ["doc_id", "item_id", "words"])
+def _over_blocks(documents: DataFrame, tasks: DataFrame, block_chars: int, scan: Callable, schema: str) -> DataFrame:
+    """``scan`` of every document with the automaton of every block; each block's rows are written before the next."""
+    context = documents.sparkSession.sparkContext
+    rows = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
+    found = []
+    for block in _task_blocks(tasks, block_chars):
+        shared = context.broadcast(block)
+        found.append(cut(rows.mapInArrow(scan(shared), schema)))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found)
 
-    return run
+
+def _scan(least: int):
+    def with_block(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(shared.value, least)
+            for batch in batches:
+                docs, items, longest = [], [], []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for item, n in automaton.matches(words(text))[0].items():
+                        docs.append(doc)
+                        items.append(item)
+                        longest.append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int32()), pa.array(longest, pa.int32())], ["doc_id", "item_id", "words"])
+
+        return run
+
+    return with_block
 
 
 def leaks(documents: DataFrame, tasks: DataFrame, least: int = LEAST_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -60,34 +81,59 @@ def leaks(documents: DataFrame, tasks: DataFrame, least: int = LEAST_WORDS, bloc
     Each of a task's texts counts by itself; a run doesn't go on from one into the other. Documents without id,
     null or empty texts and tasks without text give no rows. Repeated rows of a document count once.
     """
-    spark = documents.sparkSession
-    rows = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
-    found = None
-    for block in _task_blocks(tasks, block_chars):
-        one = rows.mapInArrow(_scan(spark.sparkContext.broadcast(block), least), "doc_id bigint, item_id int, words int")
-        found = one if found is None else found.unionByName(one)
+    found = _over_blocks(documents, tasks, block_chars, _scan(least), "doc_id bigint, item_id int, words int")
     return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
 
-def _cut(shared, least: int, drop_words: int, drop_share: float):
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def _spans(least: int):
+    """The texts with leaks and which of their words leak."""
+
+    def with_block(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(shared.value, least)
+            for batch in batches:
+                out = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if spans := automaton.matches(words(text))[1]:
+                        out.append((doc, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), text, [{"a": a, "b": b} for a, b in spans]))
+                columns = list(zip(*out)) or [[]] * 4
+                kinds = [pa.int64(), pa.int64(), pa.string(), _SPANS]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "digest", "text", "spans"])
+
+        return run
+
+    return with_block
+
+
+def _merged(spans: list[dict]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((s["a"], s["b"]) for s in spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _cut(drop_words: int, drop_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(shared.value, least)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                here = words(text)
-                spans = automaton.matches(here)[1]
-                if not spans:
-                    continue
+            for doc, text, found in zip(*(c.to_pylist() for c in batch.columns)):
+                here, spans = len(words(text)), _merged(found)
                 leaked, longest = sum(b - a for a, b in spans), max(b - a for a, b in spans)
-                if longest > drop_words or leaked > drop_share * len(here):
-                    out.append((doc, len(here), leaked, longest, "drop", None))
+                if longest > drop_words or leaked > drop_share * here:
+                    out.append((doc, here, leaked, longest, "drop", None))
                     continue
                 placed, kept, at = placed_words(text), [], 0
-                for a, b in automaton.matches([w for w, _, _ in placed])[1]:
+                for a, b in spans:
                     kept.append(text[at : placed[a][1]])
                     at = placed[b - 1][2]
-                out.append((doc, len(here), leaked, longest, "cut", "".join([*kept, text[at:]])))
+                out.append((doc, here, leaked, longest, "cut", "".join([*kept, text[at:]])))
             columns = list(zip(*out)) or [[]] * 6
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "words", "leaked_words", "longest", "action", "text"])
@@ -98,29 +144,12 @@ def _cut(shared, least: int, drop_words: int, drop_share: float):
 def scrubbed(documents: DataFrame, tasks: DataFrame, least: int = LEAST_WORDS, drop_words: int = DROP_WORDS, drop_share: float = DROP_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents with leaks, their spans removed; beyond either limit the action is ``drop`` and text null.
 
-    More tasks than one block holds are scrubbed block after block, each from the text that the one before left.
+    Repeated rows of a document count once; a doc_id with several texts has a row for each text that leaks.
     """
-    spark = documents.sparkSession
-    rows = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
-    schema = "doc_id bigint, words int, leaked_words int, longest int, action string, text string"
-    out = None
-    for block in _task_blocks(tasks, block_chars):
-        one = rows.mapInArrow(_cut(spark.sparkContext.broadcast(block), least, drop_words, drop_share), schema).dropDuplicates(["doc_id"])
-        if out is not None:
-            again = one.select(*[F.col(c).alias(f"n_{c}") for c in one.columns])
-            both = out.join(again, F.col("doc_id") == F.col("n_doc_id"), "full")
-            one = both.select(
-                F.coalesce("doc_id", "n_doc_id").alias("doc_id"),
-                F.coalesce("words", "n_words").alias("words"),
-                (F.coalesce("leaked_words", F.lit(0)) + F.coalesce("n_leaked_words", F.lit(0))).alias("leaked_words"),
-                F.greatest("longest", "n_longest").alias("longest"),
-                F.when((F.col("action") == "drop") | (F.col("n_action") == "drop"), "drop").otherwise("cut").alias("action"),
-                F.when((F.col("action") == "drop") | (F.col("n_action") == "drop"), None).otherwise(F.coalesce("n_text", "text")).alias("text"),
-            )
-        out = one
-        left = out.select(F.col("doc_id").alias("o_doc_id"), F.col("text").alias("o_text"), F.lit(True).alias("o_there"))
-        rows = rows.join(left, F.col("doc_id") == F.col("o_doc_id"), "left").select("doc_id", F.when(F.col("o_there"), F.col("o_text")).otherwise(F.col("text")).alias("text")).where(F.length("text") > 0)
-    return out
+    found = _over_blocks(documents, tasks, block_chars, _spans(least), "doc_id bigint, digest bigint, text string, spans array<struct<a: int, b: int>>")
+    # a text leaks in few blocks: its spans are a short list
+    whole = found.groupBy("doc_id", "digest").agg(F.max("text").alias("text"), F.flatten(F.collect_set("spans")).alias("spans"))
+    return whole.select("doc_id", "text", "spans").mapInArrow(_cut(drop_words, drop_share), "doc_id bigint, words int, leaked_words int, longest int, action string, text string")
 
 
 def p6_found(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -82,3 +82,18 @@ def test_random_documents_equal_brute_force(spark):
     texts = [(x[0], text.split()) for x in tasks for text in x[3:]]
     want = {(n, item, k) for n, text in docs for item, k in brute(texts, text.split(), 12).items()}
     assert {tuple(r) for r in leaks(d, t).collect()} == want and want
+
+
+def test_blocks_change_no_result(spark):
+    rng = random.Random(9)
+    own = lambda n: " ".join(f"own{rng.randrange(10**6)}" for _ in range(n))
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(8)]
+    tasks = [(k, "f", "e", p, None) for k, p in enumerate(passages)]
+    docs = [(1, f"{passages[0]} {own(20)} {passages[1]} {own(20)}"), (2, f"{own(40)} {passages[2]} {own(40)}"), (3, f"{own(90)} {passages[3]} {passages[4]} {own(90)}"), (4, " ".join(passages[:5]) + " " + own(900)), (5, own(50)), (2, "")]
+    d, t = tables(spark, docs, tasks)
+    results = []
+    for block in (1_000_000, 700, 200):
+        results.append(({tuple(r) for r in scrubbed(d, t, block_chars=block).collect()}, {tuple(r) for r in leaks(d, t, block_chars=block).collect()}))
+    assert all(r == results[0] for r in results)
+    assert {(r[0], r[4]) for r in results[0][0]} == {(1, "drop"), (2, "cut"), (3, "cut"), (4, "drop")}
+    assert {r[0]: r[3] for r in results[0][0]} == {1: 30, 2: 30, 3: 60, 4: 150}
