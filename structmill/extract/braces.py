@@ -33,7 +33,6 @@ _DECLARED: dict[str, list[tuple[str, re.Pattern]]] = {
         ("function", re.compile(r"^func\s+(?P<name>\w+)", re.M)),
         ("struct", re.compile(r"^(?:type\s+|\t)(?P<name>\w+)(?:\[[^\]]*\])?\s+struct\b", re.M)),
         ("interface", re.compile(r"^(?:type\s+|\t)(?P<name>\w+)(?:\[[^\]]*\])?\s+interface\b", re.M)),
-        ("constant", re.compile(r"^const\s+(?P<name>\w+)", re.M)),
     ],
     "java": [
         ("class", re.compile(r"^\s*(?P<access>(?:(?:public|private|protected|static|final|abstract)\s+)*)(?:class|record)\s+(?P<name>\w+)", re.M)),
@@ -83,6 +82,58 @@ def _closing(code: str, start: int) -> int:
     return len(code) - 1
 
 
+#: What opens a function inside a function; group 1 is its brace, if it has one.
+_INNER = {
+    "script": re.compile(r"\bfunction\b[^{;]*?(\{)|=>\s*(\{)?"),
+    "go": re.compile(r"\bfunc\s*\([^{}]*?(\{)"),
+    "java": re.compile(r"->\s*(\{)?|\b(?:class|interface|enum|record)\s+\w+[^{;]*?(\{)"),
+    "rust": re.compile(r"\bfn\s+\w+[^{;]*?(\{)|(?:(?<=[(,={;:])|\bmove\b|\breturn\b)\s*\|[^|\n]*\|\s*(?:->[^{;]*)?(\{)?"),
+}
+
+
+def _inner(code: str, start: int, end: int, kind: str) -> list[tuple[int, int]]:
+    """The bodies of functions inside a function's body; an arrow's expression ends with its list item or statement."""
+    out, at = [], start + 1
+    while m := _INNER[kind].search(code, at, end):
+        if m[m.lastindex or 0] == "{":
+            stop = _closing(code, m.start(m.lastindex))
+        else:
+            depth, stop = 0, end
+            for b in re.compile(r"[()\[\]{},;]").finditer(code, m.end(), end):
+                if b[0] in "([{":
+                    depth += 1
+                elif depth and b[0] in ")]}":
+                    depth -= 1
+                elif not depth:
+                    stop = b.start()
+                    break
+        out.append((m.start(), stop))
+        at = max(stop, m.end())
+    return out
+
+
+def _go_constants(code: str, text: str, line_of) -> list[Symbol]:
+    """Constants, grouped or not, with every name of a line."""
+    found = []
+    for m in re.finditer(r"^const\s*(\()?", code, re.M):
+        lines = [(m.end(), code.find("\n", m.end()) if "\n" in code[m.end() :] else len(code))]
+        if m[1]:
+            depth, stop = 1, len(code)
+            for b in re.compile(r"[()]").finditer(code, m.end()):
+                depth += 1 if b[0] == "(" else -1
+                if not depth:
+                    stop = b.start()
+                    break
+            lines = [(m.end() + x.start(), m.end() + x.end()) for x in re.finditer(r"[^\n;]+", code[m.end() : stop])]
+        for a, b in lines:
+            if names := re.match(r"\s*(\w+(?:\s*,\s*\w+)*)", code[a:b]):
+                row = line_of(a + names.start(1))
+                for name in re.findall(r"\w+", names[1]):
+                    if name != "_":
+                        found.append(Symbol(name, "constant", row, row, text[a:b].strip(), _visibility("go", "constant", name, "", False), None, None, [], None))
+    return found
+
+
 def _documentation(lines: list[str], row: int, language: str) -> str | None:
     """Comment lines right above a row (from 0); annotations and attributes in between are skipped."""
     at = row - 1
@@ -137,6 +188,24 @@ def _parameters(signature: str, language: str) -> list[tuple]:
     return out
 
 
+def _used(prefix: str, path: str) -> list[tuple[str, str, str | None]]:
+    """(module, name, alias) of every leaf of a use tree."""
+    head, brace, group = path.partition("{")
+    if not brace:
+        base, _, alias = path.partition(" as ")
+        whole = prefix + base.strip()
+        module, _, last = whole.rpartition("::")
+        return [(module or last, last if module else "", alias.strip() or None)]
+    parts, depth, start = [], 0, 0
+    inner = group[: group.rindex("}")] if "}" in group else group
+    for i, c in enumerate(inner + ","):
+        depth += (c == "{") - (c == "}")
+        if c == "," and depth == 0:
+            parts.append(inner[start:i].strip())
+            start = i + 1
+    return [leaf for part in parts if part for leaf in _used(prefix + head.strip(), part)]
+
+
 def _imports(text: str, code: str, language: str, line_of) -> list[Import]:
     out: list[Import] = []
     if family(language) == "script":
@@ -168,32 +237,30 @@ def _imports(text: str, code: str, language: str, line_of) -> list[Import]:
     else:
         for m in re.finditer(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", code, re.M):
             path, line = re.sub(r"\s+", " ", m[1].strip()), line_of(m.start())
-            head, _, group = path.partition("{")
-            if group:
-                parts = [re.split(r"\s+as\s+", p.strip()) for p in group.rstrip("} ").split(",") if p.strip()]
-                plain = [p[0] for p in parts if len(p) == 1]
-                if plain:
-                    out.append(Import(head.rstrip(":"), plain, None, line, "use"))
-                out += [Import(head.rstrip(":"), [p[0]], p[1], line, "use") for p in parts if len(p) == 2]
-            else:
-                base, _, alias = path.partition(" as ")
-                module, _, last = base.rpartition("::")
-                out.append(Import(module or last, [last] if module else [], alias or None, line, "use"))
+            by_module: dict[str, list[str]] = {}
+            for module, name, alias in _used("", path):
+                if alias:
+                    out.append(Import(module, [name], alias, line, "use"))
+                else:
+                    by_module.setdefault(module, []).append(name)
+            out += [Import(module, [n for n in names if n], None, line, "use") for module, names in by_module.items()]
     return out
 
 
+_LISTED, _STAR = re.compile(r"\s*\{([^}]*)\}\s*(from)?"), re.compile(r"\s*\*")
+
+
 def _exports(code: str, line_of) -> list[Export]:
     out = []
     for m in re.finditer(r"^export\s+(?:(default)\s+)?(type\s+)?(?:(?:abstract|async|declare)\s+)*(?:(?:function\s*\*?|class|interface|enum|const|let|var|namespace)\s*)?([\w$]+)?", code, re.M):
-        rest = code[m.end() : m.end() + 400]
         if m[1]:
             out.append(Export(m[3] or "<default>", "default", line_of(m.start())))
         elif m[3]:
             out.append(Export(m[3], "type" if m[2] else "named", line_of(m.start())))
-        elif group := re.match(r"\s*\{([^}]*)\}\s*(from)?", rest):
+        elif group := _LISTED.match(code, m.end()):
             for spec in filter(None, (x.strip() for x in group[1].split(","))):
                 out.append(Export(re.split(r"\s+as\s+", spec)[-1], "re_export" if group[2] else "named", line_of(m.start())))
-        elif re.match(r"\s*\*", rest):
+        elif _STAR.match(code, m.end()):
             out.append(Export("*", "re_export", line_of(m.start())))
     return out
 
@@ -233,10 +300,15 @@ def extract(text: str, language: str) -> Extraction:
             )
             if what in ("function", "method") and head_end > 0:
                 bodies.append((f"{parent}.{name}" if parent else name, head_end, end))
+    if language == "go":
+        symbols += _go_constants(code, text, line_of)
     symbols.sort(key=lambda s: (s.line_start, s.line_end))
     calls = []
     for caller, a, b in sorted(bodies, key=lambda x: x[1]):
+        inner = _inner(code, a, b, kind_of)
         for m in _CALL.finditer(code, a, b):
+            if any(x <= m.start(1) < y for x, y in inner):
+                continue
             callee = re.sub(r"^(?:this|self)\.", "", re.sub(r"\s+", " ", m[1]))
             if callee.split(".")[-1] not in _NO_CALL and not callee.endswith("!"):
                 calls.append(Call(caller, callee, line_of(m.start(1)), 1.0 if re.match(r"^\w+$", callee) else 0.7))

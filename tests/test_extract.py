@@ -105,3 +105,22 @@ def test_stream(spark, tmp_path):
     (log / "a.json").write_text("\n".join(map(json.dumps, rows)))
     telemetry.write_parquet(telemetry.fallback_sessions(telemetry.read_log(spark, str(log))), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert [(r.session_id, r.events, r.fallbacks) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("s", 5, 4)]
+
+
+def test_calls_of_functions_inside_functions_are_left_out():
+    calls = lambda path, text: {(c[0], c[1]) for c in extract(path, text)["call_edges"]}
+    assert calls("a.js", "function f() {\n  a(1);\n  function g() { b(); }\n  x.map((q) => c(q), d());\n  y.each(function () { e(); });\n  z(() => { h(); });\n  i();\n}\n") == {("f", x) for x in ("a", "x.map", "d", "y.each", "z", "i")}
+    assert calls("a.rs", "fn f() {\n  a();\n  fn g() { b(); }\n  x.map(|q| c(q));\n  let h = move || { d(); };\n  e(1 | 2, 3 | 4);\n}\n") >= {("f", "a"), ("f", "x.map"), ("f", "e")}
+    assert not {("f", x) for x in "bcd"} & calls("a.rs", "fn f() {\n  a();\n  fn g() { b(); }\n  x.map(|q| c(q));\n  let h = move || { d(); };\n}\n")
+    assert calls("a.go", "package p\n\nfunc f() {\n\ta()\n\tgo func(x int) { b() }(c())\n\td()\n}\n") == {("f", "a"), ("f", "c"), ("f", "d")}
+    assert calls("A.java", "class A {\n  void f() {\n    a();\n    xs.forEach(x -> b(x));\n    run(() -> { c(); });\n    d();\n  }\n}\n") == {("A.f", "a"), ("A.f", "xs.forEach"), ("A.f", "run"), ("A.f", "d")}
+
+
+def test_long_export_lists_constants_and_use_trees():
+    names = [f"someRatherLongName{i}" for i in range(200)]
+    exports = extract("a.js", "export { " + ",\n  ".join(names) + " };\nexport { a as b } from './m';\nexport * from './n';\n")["exports"]
+    assert [(e[0], e[1]) for e in exports] == [(n, "named") for n in names] + [("b", "re_export"), ("*", "re_export")]
+    go = extract("a.go", "package p\n\nconst A, b = 1, 2\n\nconst (\n\tC = iota\n\tD, e = (1 << iota), 2\n\t// note\n\t_ = 3\n)\n")
+    assert [(s[0], s[1], s[5]) for s in go["symbols"]] == [("A", "constant", "public"), ("b", "constant", "private"), ("C", "constant", "public"), ("D", "constant", "public"), ("e", "constant", "private")]
+    rust = extract("a.rs", "use a::{b, c::{d, e as f, g::*}, self};\nuse h;\nuse i::j as k;\n")
+    assert {(i[0], tuple(i[1]), i[2]) for i in rust["imports"]} == {("a", ("b", "self"), None), ("a::c", ("d",), None), ("a::c", ("e",), "f"), ("a::c::g", ("*",), None), ("h", (), None), ("i", ("j",), "k")}
