@@ -9,9 +9,9 @@ from structmill.functions.paths import normal_path, parent_dir
 from structmill.operators.latest import latest
 
 
-def files_once(file_infos: DataFrame) -> DataFrame:
-    """Each file (repo, path) once, as its latest scan has it."""
-    keep = ["repo", "path", "directory", "language", "symbol_count", "import_count", "has_tests", "incoming_edges", "outgoing_edges", "call_edge_count"]
+def files_once(file_infos: DataFrame, *columns: str) -> DataFrame:
+    """Each file (repo, path) once, as its latest scan has it, with the named columns (all without names)."""
+    keep = ["repo", "path", *columns] if columns else ["repo", "path", "directory", "language", "symbol_count", "import_count", "has_tests", "incoming_edges", "outgoing_edges", "call_edge_count"]
     return latest(file_infos, ["repo", "path"], [F.col("scanned_at")], keep)
 
 
@@ -48,7 +48,7 @@ def directory_pairs(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def directory_edges(files: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per directory: files, symbols, edges inside, going out and coming in, and density = inside / (inside + out), 0 if none."""
+    """Per directory: files, symbols, edges inside, going out and coming in, and density = inside / (inside + out) to three decimals, 0 if none."""
     inside = F.col("source_dir") == F.col("target_dir")
     halves = pairs.select("repo", F.col("source_dir").alias("d"), F.when(inside, F.col("edges")).otherwise(0).alias("i"), F.when(inside, 0).otherwise(F.col("edges")).alias("o"), F.lit(0).cast("bigint").alias("n"))
     halves = halves.unionByName(pairs.where(~inside).select("repo", F.col("target_dir").alias("d"), F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("o"), F.col("edges").alias("n")))
@@ -57,7 +57,7 @@ def directory_edges(files: DataFrame, pairs: DataFrame) -> DataFrame:
     joined = dirs.join(sums, (F.col("repo") == F.col("s_repo")) & (F.col("directory") == F.col("s_dir")), "left")
     counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("internal_edges", "outgoing_edges", "incoming_edges")]
     filled = joined.select("repo", "directory", "file_count", "symbol_count", *counts)
-    density = F.coalesce(F.try_divide(F.col("internal_edges").cast("double"), (F.col("internal_edges") + F.col("outgoing_edges")).cast("double")), F.lit(0.0))
+    density = F.bround(F.coalesce(F.try_divide(F.col("internal_edges").cast("double"), (F.col("internal_edges") + F.col("outgoing_edges")).cast("double")), F.lit(0.0)), 3)
     return filled.withColumn("edge_density", density)
 
 

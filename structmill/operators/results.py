@@ -21,15 +21,15 @@ def mode_stats(results: DataFrame) -> DataFrame:
 
 
 def deltas(stats: DataFrame, framework: str, baseline: str) -> DataFrame:
-    """One row: relative changes in percent (0 where the baseline is 0) and differences, and the verdict.
+    """One row: relative changes in percent (0 where the baseline is 0) and differences, to two decimals, and the verdict.
 
     FAIL if it costs over 5 % more and passes less; PASS if it costs no more, passes 5 points more, has no lower
     quality and no errors; else MIXED. Exactly one side without rows is an error, none on both sides is MIXED.
     """
     one = lambda c, mode: F.max(F.when(F.col("mode") == mode, F.col(c)))
     sides = stats.agg(*[one(c, m).alias(f"{s}_{c}") for c in ("tokens", "cost", "seconds", "quality", "lenient_rate", "errors", "total") for s, m in (("f", framework), ("b", baseline))])
-    pct = lambda c: F.when(F.coalesce(f"b_{c}", F.lit(0.0)) == 0, 0.0).otherwise(100.0 * (F.col(f"f_{c}") - F.col(f"b_{c}")) / F.col(f"b_{c}"))
-    diff = lambda c: F.coalesce(F.col(f"f_{c}") - F.col(f"b_{c}"), F.lit(0.0))
+    pct = lambda c: F.when(F.coalesce(f"b_{c}", F.lit(0.0)) == 0, 0.0).otherwise(F.bround(100.0 * (F.col(f"f_{c}") - F.col(f"b_{c}")) / F.col(f"b_{c}"), 2))
+    diff = lambda c: F.bround(F.coalesce(F.col(f"f_{c}") - F.col(f"b_{c}"), F.lit(0.0)), 2)
     row = sides.select(pct("tokens").alias("tokens_pct"), pct("cost").alias("cost_pct"), pct("seconds").alias("seconds_pct"), diff("lenient_rate").alias("lenient_pp"), diff("quality").alias("quality_diff"), "f_errors", "f_total", "b_total")
     one_sided = F.col("f_total").isNull() != F.col("b_total").isNull()
     verdict = (

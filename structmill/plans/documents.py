@@ -263,8 +263,8 @@ SQL = {
     "lock_counters": f"WITH {_MERGED} SELECT state, count(*) AS entries, CAST(sum(overrides) AS BIGINT) AS overrides FROM mg GROUP BY state",
     "lock_upsert": f"WITH {_CAND}, {_LOCK} SELECT name, role FROM lk UNION ALL SELECT name, role FROM cand WHERE name NOT IN (SELECT name FROM lk)",
     "mode_stats": f"WITH {_STATS} SELECT * FROM ms",
-    "mode_deltas": f"""WITH {_STATS}, x AS (SELECT 100.0 * (f.tokens - b.tokens) / b.tokens AS tokens_pct, 100.0 * (f.cost - b.cost) / b.cost AS cost_pct, 100.0 * (f.seconds - b.seconds) / b.seconds AS seconds_pct,
-        f.lenient_rate - b.lenient_rate AS lenient_pp, f.quality - b.quality AS quality_diff, f.errors FROM ms f, ms b WHERE f.mode = 'framework' AND b.mode = 'baseline')
+    "mode_deltas": f"""WITH {_STATS}, x AS (SELECT round_even(100.0 * (f.tokens - b.tokens) / b.tokens, 2) AS tokens_pct, round_even(100.0 * (f.cost - b.cost) / b.cost, 2) AS cost_pct, round_even(100.0 * (f.seconds - b.seconds) / b.seconds, 2) AS seconds_pct,
+        round_even(f.lenient_rate - b.lenient_rate, 2) AS lenient_pp, round_even(f.quality - b.quality, 2) AS quality_diff, f.errors FROM ms f, ms b WHERE f.mode = 'framework' AND b.mode = 'baseline')
         SELECT tokens_pct, cost_pct, seconds_pct, lenient_pp, quality_diff, CASE WHEN cost_pct > 5 AND lenient_pp < 0 THEN 'FAIL' WHEN cost_pct <= 0 AND lenient_pp >= 5 AND quality_diff >= 0 AND errors = 0 THEN 'PASS' ELSE 'MIXED' END AS verdict FROM x""",
     "paired_results": f"""WITH {_RES}, n AS (SELECT *, row_number() OVER (PARTITION BY mode, event_id // 1000 ORDER BY event_id) + (event_id // 1000) * 1000 AS ord FROM rs), f AS (SELECT * FROM n WHERE mode = 'framework'), b AS (SELECT * FROM n WHERE mode = 'baseline')
         SELECT coalesce(f.ord, b.ord) AS ord, f.cost AS f_cost, b.cost AS b_cost, f.lenient AS f_lenient, b.lenient AS b_lenient FROM f FULL JOIN b ON f.ord = b.ord""",
@@ -282,5 +282,5 @@ SQL = {
     "region_profile": """WITH e AS (SELECT a.n_regionkey AS s, b.n_regionkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
         JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey)
         SELECT r_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS file_count, count(*) FILTER (s = r_regionkey AND t = r_regionkey) AS internal_edges, count(*) FILTER (s = r_regionkey AND t <> r_regionkey) AS outgoing_edges,
-        count(*) FILTER (s <> r_regionkey AND t = r_regionkey) AS incoming_edges, count(*) FILTER (s = r_regionkey AND t = r_regionkey) / count(*) FILTER (s = r_regionkey) AS edge_density FROM region, e GROUP BY r_regionkey, r_name""",
+        count(*) FILTER (s <> r_regionkey AND t = r_regionkey) AS incoming_edges, round_even(count(*) FILTER (s = r_regionkey AND t = r_regionkey) / count(*) FILTER (s = r_regionkey), 3) AS edge_density FROM region, e GROUP BY r_regionkey, r_name""",
 }

@@ -94,16 +94,20 @@ def imported_calls(spark: SparkSession, d: str) -> DataFrame:
 def local_calls(spark: SparkSession, d: str) -> DataFrame:
     """Calls per file whose callee is a symbol of the same file, and others."""
     files = _files(spark, d, "symbols", "call_edges")
-    names = F.transform("symbols", lambda s: s["name"])
-    calls = files.select("file_id", names.alias("names"), F.explode("call_edges").alias("c"))
-    return calls.groupBy("file_id").agg(F.count_if(F.array_contains("names", F.col("c.callee"))).alias("local"), F.count_if(~F.coalesce(F.array_contains("names", F.col("c.callee")), F.lit(False))).alias("other"))
+    names = F.coalesce(F.transform("symbols", lambda s: s["name"]), F.array().cast("array<string>"))
+    # counted per file: no call carries the file's symbols along
+    n_local = F.size(F.filter("call_edges", lambda c: F.array_contains(names, c["callee"]))).cast("bigint")
+    counted = files.where(F.size("call_edges") > 0).select("file_id", n_local.alias("local"), F.size("call_edges").alias("n"))
+    return counted.select("file_id", "local", (F.col("n") - F.col("local")).alias("other"))
 
 
 def rationale(spark: SparkSession, d: str) -> DataFrame:
     """Up to fifteen rationale comments per repository, the lowest lines last, with the symbol around each."""
-    files = _files(spark, d, "symbols", "rationale_comments").select("repo", "file_path", "symbols", F.explode("rationale_comments").alias("r"))
-    around = F.filter("symbols", lambda s: (s["line_start"] <= F.col("r.line")) & (F.col("r.line") <= s["line_end"]))
-    kept = files.where(F.col("r.tag").isin("WHY", "HACK", "IMPORTANT", "NOTE")).select("repo", "file_path", "r.tag", "r.line", text.truncated(F.col("r.text"), 120).alias("text"), F.try_element_at(around, F.lit(-1))["name"].alias("context"))
+    around = lambda r: F.try_element_at(F.filter("symbols", lambda s: (s["line_start"] <= r["line"]) & (r["line"] <= s["line_end"])), F.lit(-1))["name"]
+    wanted = F.filter("rationale_comments", lambda r: r["tag"].isin("WHY", "HACK", "IMPORTANT", "NOTE"))
+    # the symbol around is found before the comments part from their file
+    named = F.transform(wanted, lambda r: F.struct(r["tag"].alias("tag"), r["line"].alias("line"), r["text"].alias("text"), around(r).alias("context")))
+    kept = _files(spark, d, "symbols", "rationale_comments").select("repo", "file_path", F.explode(named).alias("r")).select("repo", "file_path", "r.tag", "r.line", text.truncated(F.col("r.text"), 120).alias("text"), "r.context")
     rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.col("line").desc(), "file_path", "tag", "text"))
     return kept.withColumn("rank", rank).where("rank <= 15")
 

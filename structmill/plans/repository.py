@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structmill.functions import paths
-from structmill.operators import graph
+from structmill.operators import context, graph
 from structmill.operators.latest import latest
 from structmill.sources.tables import table
 
@@ -20,27 +20,33 @@ ENTRY_STEMS = "main app __main__ index server cli wsgi asgi".split()
 SLICE = ["src/shared", "tests"]
 
 
-def _files(spark: SparkSession, d: str) -> DataFrame:
-    return graph.files_once(table(spark, d, "file_infos"))
+def _files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return graph.files_once(table(spark, d, "file_infos"), *columns)
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.edges_once(table(spark, d, "graph_edges")).where(F.col("target").isNotNull())
+def _edges(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Ends and the named columns only: fewer bytes to shuffle."""
+    return graph.edges_once(table(spark, d, "graph_edges"), "repo", "source", "target", *columns).where(F.col("target").isNotNull())
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return graph.directory_pairs(_files(spark, d), _edges(spark, d))
+    return graph.directory_pairs(_files(spark, d, "directory", "symbol_count"), _edges(spark, d))
+
+
+def _profile(spark: SparkSession, d: str) -> DataFrame:
+    """Files come in the same form for counts and pairs, so their exchange is used twice."""
+    return graph.directory_edges(_files(spark, d, "directory", "symbol_count"), _pairs(spark, d))
 
 
 def directory_profile(spark: SparkSession, d: str) -> DataFrame:
     """Directories with at least two files: counts, edges, density, flags."""
-    profile = graph.directory_edges(_files(spark, d), _pairs(spark, d))
+    profile = _profile(spark, d)
     last = F.lower(F.element_at(F.split("directory", "/"), -1))
     return profile.where("file_count >= 2").select("*", last.isin(TEST_DIRS).alias("is_test"), last.isin(GENERATED_DIRS).alias("is_auto_generated"))
 
 
 def file_degrees(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(_files(spark, d), _edges(spark, d))
+    return graph.degrees(_files(spark, d, "directory"), _edges(spark, d))
 
 
 def directory_coupling(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +66,7 @@ def first_seen_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def call_hubs(spark: SparkSession, d: str) -> DataFrame:
-    return graph.call_hubs(_edges(spark, d))
+    return graph.call_hubs(_edges(spark, d, "kind", "detail"))
 
 
 def language_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -77,8 +83,8 @@ def dominant_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 def directory_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """All directories of each repository by incoming edges, most first, ties by path. The SQL below stops at rank 100."""
-    profile = graph.directory_edges(_files(spark, d), _pairs(spark, d))
+    """All directories of each repository by incoming edges, most first, ties by path."""
+    profile = _profile(spark, d)
     rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.col("incoming_edges").desc(), "directory"))
     return profile.select("repo", "directory", "incoming_edges", rank.alias("rank"))
 
@@ -94,7 +100,7 @@ def symbol_popularity(spark: SparkSession, d: str) -> DataFrame:
 
 def central_files(spark: SparkSession, d: str) -> DataFrame:
     """Files with three incoming edges or more, and whether no test covers them although they hold two symbols."""
-    files, edges = _files(spark, d), _edges(spark, d)
+    files, edges = _files(spark, d, "symbol_count"), _edges(spark, d, "kind")
     tested = edges.where("kind = 'tests'").select(F.col("repo").alias("t_repo"), F.col("target").alias("t_path")).distinct()
     deg = graph.degrees(files, edges).select(F.col("repo").alias("d_repo"), F.col("path").alias("d_path"), "in_degree")
     joined = files.join(deg, (F.col("repo") == F.col("d_repo")) & (F.col("path") == F.col("d_path"))).join(tested, (F.col("repo") == F.col("t_repo")) & (F.col("path") == F.col("t_path")), "left")
@@ -119,7 +125,7 @@ def test_flags(spark: SparkSession, d: str) -> DataFrame:
 
 def naming_test_map(spark: SparkSession, d: str) -> DataFrame:
     """Test files matched to source files by stem; a test edge wins over a name. Ties fall to the smallest path."""
-    files, edges = _files(spark, d), _edges(spark, d)
+    files, edges = _files(spark, d, "directory"), _edges(spark, d, "kind")
     is_test = _graph_test(F.col("path"))
     stem = F.lower(paths.stem(F.col("path")))
     bare = F.regexp_replace(F.regexp_replace(stem, "^(?:test_|spec_|test)", ""), "(?:_test|_spec)$", "")
@@ -132,7 +138,7 @@ def naming_test_map(spark: SparkSession, d: str) -> DataFrame:
 
 def tested_sources(spark: SparkSession, d: str) -> DataFrame:
     """Test -> source: import and test edges of test files that end at other files, once each."""
-    edges = _edges(spark, d).where("kind <> 'calls'")
+    edges = _edges(spark, d, "kind").where("kind <> 'calls'")
     return edges.where(_graph_test(F.col("source")) & ~_graph_test(F.col("target"))).select("repo", "source", "target").distinct()
 
 
@@ -197,6 +203,32 @@ def slice_edges(spark: SparkSession, d: str) -> DataFrame:
     return edges.groupBy("repo", "side", "other").agg(F.count(F.lit(1)).alias("edges"))
 
 
+def _symbols(spark: SparkSession, d: str) -> DataFrame:
+    files = latest(table(spark, d, "files"), "file_id", [F.col("scanned_at")], ["file_id", "repo", "file_path", "symbols"])
+    return files.select("repo", F.col("file_path").alias("path"), F.explode("symbols").alias("s")).select("repo", "path", "s.name", F.col("s.line_start").alias("line"), "s.visibility", "s.parent").distinct()
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """The files that were extracted, with their directories."""
+    return table(spark, d, "files").where(F.col("file_path").isNotNull()).select("repo", F.col("file_path").alias("path"), paths.parent_dir(F.col("file_path")).alias("directory")).distinct()
+
+
+def directory_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """The five most imported files of each directory, of these those with public top-level symbols, eight each."""
+    files = _placed(spark, d)
+    return context.signatures(files, graph.degrees(files, _edges(spark, d)), _symbols(spark, d)).withColumn("symbols", F.array_join("symbols", ","))
+
+
+def directory_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Directories of two files and more with the first three symbols of each file, ten in all."""
+    return context.top_symbols(_placed(spark, d), _symbols(spark, d)).withColumn("top_symbols", F.array_join("top_symbols", ","))
+
+
+def usual_directory(spark: SparkSession, d: str) -> DataFrame:
+    """Where a repository's files usually go: its largest directory without tests, else its largest."""
+    return context.usual_directory(_files(spark, d, "directory"))
+
+
 def profile_lag(spark: SparkSession, d: str) -> DataFrame:
     """Stored directory profiles against a fresh count: matched, changed, missing, stale."""
     fresh = _files(spark, d).groupBy("repo", F.col("directory").alias("path")).agg(F.count(F.lit(1)).alias("files"))
@@ -219,6 +251,10 @@ x AS (SELECT d.*, CAST(coalesce((SELECT sum(edges) FROM p WHERE p.repo = d.repo
     CAST(coalesce((SELECT sum(edges) FROM p WHERE p.repo = d.repo AND target_dir = d.directory AND source_dir <> d.directory), 0) AS BIGINT) AS incoming_edges FROM d)"""
 
 
+_S = """sy AS (SELECT DISTINCT repo, path, u.name AS name, u.line_start AS line, u.visibility AS visibility, u.parent AS parent FROM (SELECT repo, file_path AS path, unnest(symbols) AS u FROM (
+    SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY scanned_at DESC NULLS LAST) AS n FROM files) WHERE n = 1))"""
+
+
 def _in(column: str, names: list[str]) -> str:
     return f"{column} IN (" + ", ".join(f"'{n}'" for n in names) + ")"
 
@@ -244,12 +280,12 @@ QUERIES = {
     for q in (
         directory_profile, file_degrees, directory_coupling, circular_directories, directory_partners, first_seen_edges, call_hubs, language_histogram, dominant_language,
         directory_ranking, symbol_popularity, central_files, test_flags, naming_test_map, tested_sources, entry_points, path_parts, subtree_sizes, module_index, size_tier,
-        name_patterns, slice_files, slice_edges, profile_lag,
+        name_patterns, slice_files, slice_edges, profile_lag, directory_signatures, directory_summary, usual_directory,
     )
 }
 
 SQL = {
-    "directory_profile": f"""WITH {_F}, {_E}, {_P}, {_D} SELECT *, CASE WHEN internal_edges + outgoing_edges = 0 THEN 0.0 ELSE internal_edges / (internal_edges + outgoing_edges) END AS edge_density,
+    "directory_profile": f"""WITH {_F}, {_E}, {_P}, {_D} SELECT *, CASE WHEN internal_edges + outgoing_edges = 0 THEN 0.0 ELSE round_even(internal_edges / (internal_edges + outgoing_edges), 3) END AS edge_density,
         {_in(_LAST_DIR, TEST_DIRS)} AS is_test, {_in(_LAST_DIR, GENERATED_DIRS)} AS is_auto_generated FROM x WHERE file_count >= 2""",
     "file_degrees": f"""WITH {_F}, {_E}, o AS (SELECT repo, source AS path, count(*) AS n FROM e GROUP BY ALL), i AS (SELECT repo, target AS path, count(*) AS n FROM e GROUP BY ALL)
         SELECT f.repo, f.path, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM f LEFT JOIN o USING (repo, path) LEFT JOIN i USING (repo, path)""",
@@ -268,7 +304,7 @@ SQL = {
         b AS (SELECT *, row_number() OVER (PARTITION BY repo, directory ORDER BY files DESC, language) AS k FROM c),
         x AS (SELECT *, row_number() OVER (PARTITION BY repo, directory, language ORDER BY coalesce(symbol_count, 0) DESC, path) AS k FROM f)
         SELECT b.repo, b.directory, b.language, b.files, x.path AS example FROM b JOIN x ON x.repo = b.repo AND x.directory = b.directory AND x.language = b.language AND x.k = 1 WHERE b.k = 1 AND b.files >= 3""",
-    "directory_ranking": f"WITH {_F}, {_E}, {_P}, {_D} SELECT * FROM (SELECT repo, directory, incoming_edges, row_number() OVER (PARTITION BY repo ORDER BY incoming_edges DESC, directory) AS rank FROM x) WHERE rank <= 100",
+    "directory_ranking": f"WITH {_F}, {_E}, {_P}, {_D} SELECT * FROM (SELECT repo, directory, incoming_edges, row_number() OVER (PARTITION BY repo ORDER BY incoming_edges DESC, directory) AS rank FROM x)",
     "symbol_popularity": """WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY scanned_at DESC NULLS LAST) AS n FROM symbol_refs) WHERE n = 1),
         s AS (SELECT repo, path, symbol, CAST(sum(ref_count) AS BIGINT) AS refs, CAST(coalesce(sum(ref_count) FILTER (kind = 'import'), 0) AS BIGINT) AS imports,
             CAST(coalesce(sum(ref_count) FILTER (kind = 'call'), 0) AS BIGINT) AS calls FROM r GROUP BY ALL)
@@ -303,6 +339,20 @@ SQL = {
     "slice_edges": f"""WITH {_E}, s AS (SELECT *, {_SLICED.format('source')} AS s, {_SLICED.format('target')} AS t FROM e)
         SELECT repo, CASE WHEN s AND t THEN 'internal' WHEN s THEN 'outgoing' ELSE 'incoming' END AS side, CASE WHEN s AND t THEN '' WHEN s THEN {_PARENT.format('target')} ELSE {_PARENT.format('source')} END AS other,
         count(*) AS edges FROM s WHERE s OR t GROUP BY ALL""",
+    "directory_signatures": f"""WITH {_E}, {_S}, p AS (SELECT DISTINCT repo, file_path AS path, {_PARENT.format('file_path')} AS directory FROM files WHERE file_path IS NOT NULL),
+        i AS (SELECT repo, target AS path, count(*) AS n FROM e GROUP BY ALL), h AS (SELECT DISTINCT repo, path FROM sy),
+        k AS (SELECT p.*, coalesce(i.n, 0) AS in_degree, row_number() OVER (PARTITION BY p.repo, directory ORDER BY coalesce(i.n, 0) DESC, p.path) AS rank FROM p JOIN h USING (repo, path) LEFT JOIN i USING (repo, path)),
+        t AS (SELECT repo, path, name, row_number() OVER (PARTITION BY repo, path ORDER BY line NULLS FIRST, name NULLS FIRST) AS place FROM sy WHERE visibility = 'public' AND coalesce(parent, '') = ''),
+        l AS (SELECT repo, path, string_agg(name, ',' ORDER BY place) AS symbols FROM t WHERE place <= 8 GROUP BY ALL)
+        SELECT repo, directory, path, in_degree, rank, symbols FROM k JOIN l USING (repo, path) WHERE rank <= 5""",
+    "directory_summary": f"""WITH {_S}, p AS (SELECT DISTINCT repo, file_path AS path, {_PARENT.format('file_path')} AS directory FROM files WHERE file_path IS NOT NULL),
+        w AS (SELECT repo, directory, count(*) AS file_count FROM p GROUP BY ALL HAVING count(*) >= 2),
+        t AS (SELECT repo, path, coalesce(name, '') AS name, row_number() OVER (PARTITION BY repo, path ORDER BY line NULLS FIRST, name NULLS FIRST) AS place FROM sy),
+        r AS (SELECT p.repo, p.directory, t.name, row_number() OVER (PARTITION BY p.repo, p.directory ORDER BY p.path, place) AS rank FROM t JOIN p USING (repo, path) WHERE place <= 3),
+        l AS (SELECT repo, directory, string_agg(name, ',' ORDER BY rank) AS top_symbols FROM r WHERE rank <= 10 GROUP BY ALL)
+        SELECT w.repo, w.directory, file_count, coalesce(top_symbols, '') AS top_symbols FROM w LEFT JOIN l USING (repo, directory)""",
+    "usual_directory": f"""WITH {_F}, c AS (SELECT repo, directory, count(*) AS files, min(path) AS example, list_has_any(string_split(lower(directory), '/'), {context.TEST_PARTS}) AS t FROM f GROUP BY ALL)
+        SELECT repo, directory, files, example FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY t, files DESC, directory) AS k FROM c) WHERE k = 1""",
     "profile_lag": f"""WITH {_F}, n AS (SELECT repo, directory AS path, count(*) AS files FROM f GROUP BY ALL)
         SELECT coalesce(n.repo, s.repo) AS repo, CASE WHEN s.path IS NULL THEN 'missing' WHEN n.path IS NULL THEN 'stale' WHEN files = file_count THEN 'matched' ELSE 'changed' END AS state, count(*) AS directories
         FROM n FULL JOIN directory_profiles s ON s.repo = n.repo AND s.path = n.path GROUP BY ALL""",
