@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,10 +13,19 @@ from pyspark.sql import functions as F
 
 from structmill.extract import braces, python
 from structmill.extract.model import SCHEMA, Extraction
+from structmill.functions.text import TAGGED_LINE
 
 _LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".java": "java", ".rs": "rust"}
 _EXTRACTORS: dict[str, Callable[[str, str], Extraction]] = {"python": lambda text, _: python.extract(text), **{x: braces.extract for x in ("javascript", "typescript", "go", "java", "rust")}}
-_TAGGED = re.compile(r"^\s*(?:#|//|/\*|\*)\s*(WHY|NOTE|IMPORTANT|HACK|TODO|FIXME)\s*:\s*(.+?)(?:\*/)?\s*$", re.I)
+_TAGGED = re.compile(TAGGED_LINE)
+
+
+def extractor_version() -> str:
+    """Sixteen hex digits that change with any source of the extractors, or of the rows they fill."""
+    digest = hashlib.sha256()
+    for source in sorted(Path(__file__).parent.glob("*.py")):
+        digest.update(source.read_bytes())
+    return digest.hexdigest()[:16]
 
 
 def supported_suffixes() -> list[str]:

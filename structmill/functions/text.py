@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from pyspark.sql import functions as F
 TAGS = ("WHY", "NOTE", "IMPORTANT", "HACK", "TODO", "FIXME")
 #: Words that say nothing about a task; fixed values.
 STOP_WORDS = "a an the add new create update delete remove get set find list change modify in to for of from with on at by".split()
-_TAG = r"(?i)^\s*(?:#|//|/\*|\*)\s*(WHY|NOTE|IMPORTANT|HACK|TODO|FIXME)\s*:\s*(.+?)(?:\*/)?\s*$"
+#: What may stand before a tag on its line; fixed values.
+COMMENT_SIGNS = ("#", "//", "/*", "*")
+#: A tagged comment line: a comment sign, the tag in any case, a colon, and text, of which a closing sign is no part.
+TAGGED_LINE = "(?i)^\\s*(?:" + "|".join(re.escape(x) for x in COMMENT_SIGNS) + ")\\s*(" + "|".join(TAGS) + r")\s*:\s*(\S.*?)\s*(?:\*/)?\s*$"
 
 
 def line_count(text: Column) -> Column:
@@ -20,11 +25,11 @@ def line_count(text: Column) -> Column:
 
 def comment_tag(line: Column) -> Column:
     """The tag of a tagged comment line, upper case; empty for other lines."""
-    return F.upper(F.regexp_extract(line, _TAG, 1))
+    return F.upper(F.regexp_extract(line, TAGGED_LINE, 1))
 
 
 def comment_text(line: Column) -> Column:
-    return F.trim(F.regexp_extract(line, _TAG, 2))
+    return F.trim(F.regexp_extract(line, TAGGED_LINE, 2))
 
 
 def words(text: Column) -> Column:
@@ -57,3 +62,20 @@ def source_name(source: Column) -> Column:
     """A free-text label in plain lower-case form; blank gives null."""
     name = F.regexp_replace(F.lower(F.trim(source)), r"[\s-]+", "_")
     return F.when(name != "", name)
+
+
+def detail_names(detail: Column) -> Column:
+    """The names in ``module (a, b)``: what stands after the first bracket, at commas. No bracket: no names."""
+    inside = F.regexp_replace(F.regexp_extract(detail, r"(?s)^[^(]*\((.*)$", 1), r"\)+\s*$", "")
+    return F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def utc_minutes(at: Column) -> Column:
+    """A timestamp as ``2025-01-31 08:05``; the session's time zone is taken to be UTC."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm")
+
+
+def signed(value: Column, decimals: int = 1, unit: str = "") -> Column:
+    """With a plus for what is above zero, a minus below; zero, also after rounding, has no sign."""
+    rounded = F.bround(value.cast("double"), decimals)
+    return F.when(value.isNull(), None).when(rounded == 0, F.format_string(f"%.{decimals}f{unit.replace('%', '%%')}", F.lit(0.0))).otherwise(F.format_string(f"%+.{decimals}f{unit.replace('%', '%%')}", rounded))

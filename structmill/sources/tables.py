@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,15 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of this machine only where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of the session. Only a local session may go without: it gets a folder of this machine."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not shared:
-        known = spark.sparkContext.getCheckpointDir()
-        shared = known or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared)
+        if not re.fullmatch(r"local(?:\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder: executors could not read each other's checkpoints")
+        shared = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared)
     return shared
 
 

@@ -2,8 +2,8 @@ import json
 
 import pytest
 
-from structmill.extract import extract, extract_files
-from structmill.sources.scan import read_json_documents, read_tree, scan, yaml_fences
+from structmill.extract import extract, extract_files, extractor_version
+from structmill.sources.scan import manifests, read_json_documents, read_tree, recursion_children, scan, yaml_fences
 from structmill.streaming import telemetry
 
 CASES = {
@@ -124,3 +124,44 @@ def test_long_export_lists_constants_and_use_trees():
     assert [(s[0], s[1], s[5]) for s in go["symbols"]] == [("A", "constant", "public"), ("b", "constant", "private"), ("C", "constant", "public"), ("D", "constant", "public"), ("e", "constant", "private")]
     rust = extract("a.rs", "use a::{b, c::{d, e as f, g::*}, self};\nuse h;\nuse i::j as k;\n")
     assert {(i[0], tuple(i[1]), i[2]) for i in rust["imports"]} == {("a", ("b", "self"), None), ("a::c", ("d",), None), ("a::c", ("e",), "f"), ("a::c::g", ("*",), None), ("h", (), None), ("i", ("j",), "k")}
+
+
+def test_version_is_that_of_the_sources(spark):
+    import re
+
+    assert re.fullmatch("[0-9a-f]{16}", extractor_version()) and extractor_version() == extractor_version()
+    from pyspark.sql import functions as F
+
+    sources = spark.createDataFrame([(1, "r", "a.py", "X = 1\n")], "file_id bigint, repo string, file_path string, content string")
+    store = lambda v: extract_files(sources).withColumn("extractor_version", F.lit(v)).withColumn("scanned_at", F.current_timestamp())
+    assert [r.from_store for r in scan(sources, store(extractor_version())).collect()] == [True]
+    assert [r.from_store for r in scan(sources, store("older")).collect()] == [False]
+
+
+def test_tree_with_odd_root(spark, tmp_path):
+    root = tmp_path / "a+(b)" / "src"
+    (root / ".git").mkdir(parents=True)
+    for name in ("x.PY", "y.rs", "z.txt", ".git/w.py"):
+        (root / name).write_text("x")
+    assert sorted(r.file_path for r in read_tree(spark, str(tmp_path / "a+(b)"), "r").collect()) == ["src/x.PY", "src/y.rs"]
+
+
+def test_manifests_and_recursion(spark):
+    files = spark.createDataFrame([("r", "setup.py"), ("r", "Makefile"), ("r", "src/setup.py"), ("s", "a.py"), (None, None)], "repo string, path string")
+    assert [tuple(r) for r in manifests(files).collect()] == [("r", ["Makefile", "setup.py"])]
+    one = "---\nsubsystems_completed:\n  - frontend (recursive: chat-ui, app-shell, admin)\n  - \"search (recursive: vector)\"\n  - plain\n---\nrest (recursive: no)\n"
+    two = "# State\n```yaml\nrecursion_applied:\n  - parent: retrieval\n    children:\n      - name: vector\n      - name: web\n  - parent: other\n    children: []\n```\n"
+    states = spark.createDataFrame([("r", one), ("s", two), ("t", ""), ("u", None)], "repo string, text string")
+    got = {(r.repo, r.name): r.children for r in recursion_children(states).collect()}
+    assert got == {("r", "frontend"): ["chat-ui", "app-shell", "admin"], ("r", "search"): ["vector"], ("s", "retrieval"): ["vector", "web"]}
+
+
+def test_formats(spark):
+    from pyspark.sql import functions as F
+
+    from structmill.functions import text
+
+    rows = spark.createDataFrame([(1, "m (a, b)", 1.26), (2, "m", -0.04), (3, "m ((a), b))", -2.0), (4, None, None)], "i int, d string, v double")
+    got = {r.i: (r.n, r.s) for r in rows.select("i", text.detail_names(F.col("d")).alias("n"), text.signed(F.col("v"), 1, "%").alias("s")).collect()}
+    assert got == {1: (["a", "b"], "+1.3%"), 2: ([], "0.0%"), 3: (["(a)", "b"], "-2.0%"), 4: (None, None)}
+    assert spark.sql("SELECT timestamp'2025-01-31 08:05:59' AS t").select(text.utc_minutes(F.col("t"))).first()[0] == "2025-01-31 08:05"
