@@ -6,11 +6,11 @@ owned path wins, then the smallest name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structmill.functions.paths import ancestors
-from structmill.functions.text import words
+from structmill.functions.text import slug, words
 
 
 def by_prefix(queries: DataFrame, routes: DataFrame) -> DataFrame:
@@ -33,17 +33,53 @@ def by_task(queries: DataFrame, tasks: DataFrame) -> DataFrame:
     return best.select("query_id", "b.task", (-F.col("b.o")).alias("overlap"), (-F.col("b.o") >= 2).alias("strong"))
 
 
-def pattern_of(query: Column, patterns: list[tuple[str, list[str]]]) -> Column:
-    """The first pattern, in index order, whose name (also with underscores) or a fragment of eight letters or more is in the query."""
-    lower = F.lower(query)
-    hits = []
-    for name, fragments in patterns:
-        wanted = [name, name.replace("-", "_"), *(f for f in fragments if len(f) >= 8)]
-        hit = F.lit(False)
-        for w in wanted:
-            hit = hit | lower.contains(w.lower())
-        hits.append(F.when(hit, F.lit(name)))
-    return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+#: Characters by which texts and fragments are met, and the least length of a fragment.
+GRAM, LEAST_FRAGMENT = 8, 8
+
+
+def by_pattern(queries: DataFrame, patterns: DataFrame) -> DataFrame:
+    """query_id and the first pattern, in index order, whose name (also with underscores) or a fragment is in the query.
+
+    patterns: ord (any type with an order), pattern, fragments; fragments under eight characters say nothing. Case
+    doesn't count. The distinct words of all queries are looked through once: a word meets what is looked for (of
+    several words their longest) by equality of its first eight characters with a run of the word, so no query meets
+    every pattern.
+    """
+    name = F.lower("pattern")
+    fragments = F.filter(F.transform(F.coalesce("fragments", F.array().cast("array<string>")), lambda f: F.lower(f)), lambda f: F.length(f) >= LEAST_FRAGMENT)
+    wanted = patterns.where(F.trim(name) != "").select("ord", "pattern", F.explode(F.array_distinct(F.concat(F.array(name, F.translate(name, "-", "_")), fragments))).alias("wanted"))
+    once = wanted.groupBy("wanted").agg(F.min(F.struct("ord", "pattern")).alias("b"))
+    core = F.element_at(F.array_sort(F.split(F.trim("wanted"), r"\s+"), lambda x, y: F.length(y) - F.length(x)), 1)
+    keyed = once.withColumn("core", core).where(F.length("core") > 0).withColumn("key", F.left("core", F.lit(GRAM)))
+    text = queries.select("query_id", F.lower("query").alias("q")).where(F.length("q") > 0)
+    said = text.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit(r"\S+"), F.lit(0)))).alias("word"))
+    lengths = F.broadcast(keyed.select(F.length("key").alias("n")).distinct())  # at most eight
+    runs = said.select("word").distinct().join(lengths, F.col("n") <= F.length("word"))
+    runs = runs.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1), lambda i: F.substring(F.col("word"), i, F.col("n"))))).alias("run"))
+    met = runs.join(keyed, F.col("run") == F.col("key")).where(F.contains("word", "core"))
+    whole = met.where(F.col("core") == F.col("wanted")).groupBy(F.col("word").alias("m_word")).agg(F.min("b").alias("b"))
+    hits = said.join(whole, F.col("word") == F.col("m_word")).select("query_id", "b")
+    parts = met.where(F.col("core") != F.col("wanted")).select(F.col("word").alias("m_word"), "wanted", "b")
+    asked = said.join(parts, F.col("word") == F.col("m_word")).select(F.col("query_id").alias("n_id"), "wanted", "b")
+    longer = text.join(asked, F.col("query_id") == F.col("n_id")).where(F.contains("q", "wanted")).select("query_id", "b")
+    return hits.unionByName(longer).groupBy("query_id").agg(F.min("b").alias("b")).select("query_id", "b.pattern")
+
+
+def route_index(areas: DataFrame, recursion: DataFrame) -> DataFrame:
+    """The routes of subsystems: areas (subsystem, doc_path, role, owns_paths, brief_paths) with their defaults.
+
+    ``name`` is the subsystem as a slug, a missing role is the empty text, missing paths are an empty list, and without
+    briefs the owned paths take their place. ``recursive_children`` come from ``recursion`` (name, children) by slug or
+    by name. Areas without a subsystem are left out; the first (by doc_path) of several with one slug counts.
+    """
+    none = F.array().cast("array<string>")
+    rows = areas.where(F.coalesce(F.trim("subsystem"), F.lit("")) != "").withColumn("name", slug(F.col("subsystem")))
+    first = rows.groupBy("name").agg(F.min_by(F.struct("subsystem", "doc_path", "role", "owns_paths", "brief_paths"), F.struct(F.coalesce("doc_path", F.lit("")), "subsystem")).alias("a"))
+    owns = F.coalesce("a.owns_paths", none)
+    shaped = first.select("name", "a.subsystem", F.coalesce("a.doc_path", F.lit("")).alias("doc_path"), F.coalesce("a.role", F.lit("")).alias("role"), owns.alias("owns_paths"), F.when(F.size("a.brief_paths") > 0, F.col("a.brief_paths")).otherwise(owns).alias("brief_paths"))
+    known = recursion.groupBy(slug(F.col("name")).alias("__name")).agg(F.max("children").alias("recursive_children"))
+    joined = shaped.join(known, F.col("name") == F.col("__name"), "left").drop("__name")
+    return joined.withColumn("recursive_children", F.coalesce("recursive_children", none))
 
 
 def merge_lock(candidates: DataFrame, lock: DataFrame, key: str, chosen: list[str], derived: list[str]) -> DataFrame:

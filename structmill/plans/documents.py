@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from structmill.functions import text
 from structmill.operators import graph, results, routing
+from structmill.sources.scan import recursion_children
 from structmill.sources.tables import table
 
-#: Patterns of tasks with fragments of their templates; fixed values.
-PATTERNS = [("add-sibling", ["sibling of"]), ("rename-symbol", ["still mention"]), ("bug-fix", ["naïve fix"]), ("find-owner", ["who owns"]), ("switch-build", ["rebuilt at night", "durch den bau"])]
-
-
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
 
@@ -81,9 +78,20 @@ def route_task(spark: SparkSession, d: str) -> DataFrame:
     return routing.by_task(_queries(spark, d), _tasks(spark, d))
 
 
+def _patterns(spark: SparkSession, d: str) -> DataFrame:
+    """An index of patterns from the profiles: the directory's path as a slug, its top symbols as fragments, largest first."""
+    profiles = table(spark, d, "directory_profiles").where(F.col("path").isNotNull())
+    order = F.struct((-F.coalesce("file_count", F.lit(0))).alias("n"), F.coalesce("repo", F.lit("")).alias("repo"), "path")
+    return profiles.select(order.alias("ord"), text.slug(F.col("path")).alias("pattern"), F.col("top_symbols").alias("fragments"))
+
+
+def _plain_docs(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def route_pattern(spark: SparkSession, d: str) -> DataFrame:
     """Documents of every source by the first pattern they hold."""
-    return _docs(spark, d).select("doc_id", routing.pattern_of(F.col("text"), PATTERNS).alias("pattern")).where(F.col("pattern").isNotNull())
+    return routing.by_pattern(_plain_docs(spark, d), _patterns(spark, d)).withColumnRenamed("query_id", "doc_id")
 
 
 def route_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -91,12 +99,25 @@ def route_cascade(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(spark, d)
     prefix = routing.by_prefix(q, _routes(spark, d)).select(F.col("query_id").alias("p_id"), "subsystem")
     task = routing.by_task(q, _tasks(spark, d)).select(F.col("query_id").alias("t_id"), "task")
-    pattern = routing.pattern_of(F.col("query"), PATTERNS)
-    joined = q.join(prefix, F.col("query_id") == F.col("p_id"), "left").join(task, F.col("query_id") == F.col("t_id"), "left").withColumn("pattern", pattern)
+    pattern = routing.by_pattern(q, _patterns(spark, d)).select(F.col("query_id").alias("n_id"), "pattern")
+    joined = q.join(prefix, F.col("query_id") == F.col("p_id"), "left").join(task, F.col("query_id") == F.col("t_id"), "left").join(pattern, F.col("query_id") == F.col("n_id"), "left")
     kind = F.when(F.col("subsystem").isNotNull(), "directory_prefix").when(F.col("pattern").isNotNull(), "pattern_route").when(F.col("task").isNotNull(), "common_task").otherwise("fallback")
     return joined.select("query_id", kind.alias("match_type"), F.coalesce("subsystem", "pattern", "task").alias("target"))
 
 
+def route_index(spark: SparkSession, d: str) -> DataFrame:
+    """Routes by the top folder of every repository: owned directories, briefs where a profile is no test, children."""
+    profiles = table(spark, d, "directory_profiles").where(F.col("path").isNotNull())
+    named = profiles.withColumn("subsystem", F.concat_ws("/", "repo", F.substring_index("path", "/", 1)))
+    areas = named.groupBy("subsystem").agg(
+        F.min("path").alias("doc_path"), F.max(F.when(F.col("path") == F.substring_index("path", "/", 1), F.lit("top"))).alias("role"), F.array_sort(F.collect_set("path")).alias("owns_paths"),
+        F.array_sort(F.collect_set(F.when(~F.coalesce("is_test", F.lit(False)) & (F.col("file_count") >= 5), F.col("path")))).alias("brief_paths"),
+    )
+    recursion = recursion_children(_docs(spark, d).select("repo", "text")).select("name", "children")
+    index = routing.route_index(areas, recursion)
+    return index.select("name", "subsystem", "doc_path", "role", *[F.array_join(c, ",").alias(c) for c in ("owns_paths", "brief_paths", "recursive_children")])
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "directory_profiles").select(F.concat_ws(":", "repo", "path").alias("name"), text.slug(F.concat_ws(" ", "repo", "path")).alias("role"), F.col("file_count"))
 
@@ -201,7 +222,7 @@ def region_profile(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        document_purpose, document_lines, signal_ratio, content_copies, source_languages, path_mentions, route_prefix, route_task, route_pattern, route_cascade, lock_merge, lock_counters,
+        document_purpose, document_lines, signal_ratio, content_copies, source_languages, path_mentions, route_prefix, route_task, route_pattern, route_cascade, route_index, lock_merge, lock_counters,
         lock_upsert, mode_stats, mode_deltas, paired_results, task_ids, task_difficulties, weighted_score, fallback_bursts, region_profile,
     )
 }
@@ -221,12 +242,15 @@ _TASK = f"""t AS (SELECT CAST(item_id AS VARCHAR) AS task, unnest({_WORDS.format
         (SELECT query_id, task, count(*) AS overlap FROM qw JOIN (SELECT DISTINCT * FROM t) t USING (w) GROUP BY ALL)) WHERE k = 1)"""
 
 
-def _pattern_sql(column: str) -> str:
-    cases = []
-    for name, fragments in PATTERNS:
-        wanted = [name, name.replace("-", "_"), *(f for f in fragments if len(f) >= 8)]
-        cases.append("WHEN " + " OR ".join(f"contains(lower({column}), '{w}')" for w in wanted) + f" THEN '{name}'")
-    return "CASE " + " ".join(cases) + " END"
+_SLUG_PATH = _SLUG.format("path")
+_PAT = f"""pt AS (SELECT -coalesce(file_count, 0) AS n, coalesce(repo, '') AS r, path AS p, {_SLUG_PATH} AS pattern, list_concat([{_SLUG_PATH}, replace({_SLUG_PATH}, '-', '_')],
+    list_filter(list_transform(coalesce(top_symbols, []), lambda x: lower(x)), lambda x: length(x) >= 8)) AS ws FROM directory_profiles WHERE path IS NOT NULL), pw AS (SELECT n, r, p, pattern, unnest(ws) AS w FROM pt WHERE pattern <> '')"""
+
+
+def _by_pattern(queries: str) -> str:
+    """What is looked for against every text, by brute force. queries: query_id, query."""
+    return f"""{_PAT}, lq AS MATERIALIZED (SELECT query_id, lower(query) AS query FROM ({queries})), wd AS MATERIALIZED (SELECT w, min((n, r, p, pattern)) AS b FROM pw GROUP BY w),
+    ph AS (SELECT query_id, b[4] AS pattern, row_number() OVER (PARTITION BY query_id ORDER BY b) AS k FROM lq JOIN wd ON contains(lq.query, w)), pm AS (SELECT query_id, pattern FROM ph WHERE k = 1)"""
 
 
 _CAND = f"cand AS (SELECT repo || ':' || path AS name, {_SLUG.format("repo || ' ' || path")} AS role, file_count FROM directory_profiles)"
@@ -256,9 +280,13 @@ SQL = {
         SELECT m.repo, m.path, count(*) AS mentions, EXISTS (SELECT 1 FROM file_infos f WHERE f.repo = m.repo AND f.path = m.path) AS known FROM m GROUP BY m.repo, m.path""",
     "route_prefix": f"WITH {_Q}, {_PREFIX} SELECT query_id, subsystem, matched FROM px",
     "route_task": f"WITH {_Q}, {_TASK} SELECT query_id, task, overlap, strong FROM tk",
-    "route_pattern": f"SELECT * FROM (SELECT doc_id, {_pattern_sql(_T)} AS pattern FROM documents) WHERE pattern IS NOT NULL",
-    "route_cascade": f"""WITH {_Q}, {_PREFIX}, {_TASK}, j AS (SELECT q.query_id, px.subsystem, {_pattern_sql('q.query')} AS pattern, tk.task FROM q LEFT JOIN px USING (query_id) LEFT JOIN tk USING (query_id))
+    "route_pattern": f"WITH {_by_pattern(f'SELECT doc_id AS query_id, {_T} AS query FROM documents')} SELECT query_id AS doc_id, pattern FROM pm",
+    "route_cascade": f"""WITH {_Q}, {_PREFIX}, {_TASK}, {_by_pattern('SELECT * FROM q')}, j AS (SELECT q.query_id, px.subsystem, pm.pattern, tk.task FROM q LEFT JOIN px USING (query_id) LEFT JOIN tk USING (query_id) LEFT JOIN pm USING (query_id))
         SELECT query_id, CASE WHEN subsystem IS NOT NULL THEN 'directory_prefix' WHEN pattern IS NOT NULL THEN 'pattern_route' WHEN task IS NOT NULL THEN 'common_task' ELSE 'fallback' END AS match_type, coalesce(subsystem, pattern, task) AS target FROM j""",
+    "route_index": f"""WITH n AS (SELECT *, concat_ws('/', repo, string_split(path, '/')[1]) AS subsystem, string_split(path, '/')[1] = path AS top FROM directory_profiles WHERE path IS NOT NULL),
+        a AS (SELECT subsystem, min(path) AS doc_path, max(CASE WHEN top THEN 'top' END) AS role, array_to_string(list_sort(list(DISTINCT path)), ',') AS owns_paths,
+            array_to_string(list_sort(list(DISTINCT path) FILTER (NOT coalesce(is_test, false) AND file_count >= 5)), ',') AS brief_paths FROM n GROUP BY subsystem)
+        SELECT {_SLUG.format('subsystem')} AS name, subsystem, doc_path, coalesce(role, '') AS role, owns_paths, coalesce(nullif(brief_paths, ''), owns_paths) AS brief_paths, '' AS recursive_children FROM a""",
     "lock_merge": f"WITH {_MERGED} SELECT * FROM mg",
     "lock_counters": f"WITH {_MERGED} SELECT state, count(*) AS entries, CAST(sum(overrides) AS BIGINT) AS overrides FROM mg GROUP BY state",
     "lock_upsert": f"WITH {_CAND}, {_LOCK} SELECT name, role FROM lk UNION ALL SELECT name, role FROM cand WHERE name NOT IN (SELECT name FROM lk)",

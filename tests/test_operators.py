@@ -101,9 +101,18 @@ def test_routes(spark):
     assert {r.query_id: (r.subsystem, r.matched) for r in routing.by_prefix(q, routes).collect()} == {1: ("aaa", "b/routers"), 2: ("all", "b")}
     tasks = spark.createDataFrame([("t2", ["router", "api"]), ("t1", ["router", "api", "x"]), ("t3", ["migration"])], "task string, words array<string>")
     assert {r.query_id: (r.task, r.overlap, r.strong) for r in routing.by_task(q.where("query_id = 3"), tasks).collect()} == {3: ("t1", 2, True)}
-    patterns = [("model-triplet", []), ("chat-feature", ["middleware", "chats"])]
-    got = spark.createDataFrame([("model_triplet",), ("my middleware",), ("chats",)], "q string").select(routing.pattern_of(F.col("q"), patterns)).collect()
-    assert [r[0] for r in got] == ["model-triplet", "chat-feature", None]
+    patterns = spark.createDataFrame([(1, "model-triplet", None), (2, "chat-feature", ["middleware", "chats"]), (3, "chat-feature-two", ["middleware"]), (4, "api", []), (5, "", ["anything at all"]), (6, "zz", ["two words here", "x" * 30])], "ord int, pattern string, fragments array<string>")
+    asked = spark.createDataFrame([(1, "model_triplet"), (2, "my middleware"), (3, "chats"), (4, "The MODEL-TRIPLET api"), (5, "an api"), (6, ""), (7, None), (8, "middlewar"), (9, "say TWO WORDS HERE."), (10, "two words  here"), (11, "y" + "x" * 31)], "query_id int, query string")
+    assert {r.query_id: r.pattern for r in routing.by_pattern(asked, patterns).collect()} == {1: "model-triplet", 2: "chat-feature", 4: "model-triplet", 5: "api", 9: "zz", 11: "zz"}
+    assert routing.by_pattern(asked, patterns.limit(0)).count() == 0
+
+
+def test_route_index(spark):
+    areas = [("API Routers", "a.md", "routes", ["b/routers"], ["b/routers"]), ("Data models", "b.md", None, ["b/models", "b/db"], None), ("config", None, "", ["b/config"], []), ("api-routers", "z.md", "late", [], []), (" ", "c.md", "", [], []), (None, "d.md", "", [], [])]
+    areas = spark.createDataFrame(areas, "subsystem string, doc_path string, role string, owns_paths array<string>, brief_paths array<string>")
+    recursion = spark.createDataFrame([("api routers", ["x", "y"]), ("none", ["z"])], "name string, children array<string>")
+    got = {r.name: (r.doc_path, r.role, r.owns_paths, r.brief_paths, r.recursive_children) for r in routing.route_index(areas, recursion).collect()}
+    assert got == {"api-routers": ("a.md", "routes", ["b/routers"], ["b/routers"], ["x", "y"]), "data-models": ("b.md", "", ["b/models", "b/db"], ["b/models", "b/db"], []), "config": ("", "", ["b/config"], ["b/config"], [])}
 
 
 def test_lock(spark):
