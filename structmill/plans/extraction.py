@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from structmill.extract import extract_files
 from structmill.functions import paths, text
-from structmill.operators import resolve
+from structmill.operators import graph, resolve
+from structmill.plans.repository import _E
 from structmill.operators.latest import latest
 from structmill.sources.scan import scan
 from structmill.sources.tables import table
@@ -79,6 +80,22 @@ def import_resolution(spark: SparkSession, d: str) -> DataFrame:
     return _resolved(spark, d).groupBy("repo", way.alias("way")).agg(F.count(F.lit(1)).alias("imports"), F.count("target").alias("resolved"))
 
 
+def declared_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Import edges of the graph written as imports, absolute with dots and relative with a path, and resolved again.
+
+    Per repository and way: imports, those that were resolved, and those that led back to the edge's target.
+    """
+    edges = graph.edges_once(table(spark, d, "graph_edges"), "repo", "source", "target", "kind").where("kind = 'imports' AND target IS NOT NULL AND source <> target").select("repo", "source", "target").distinct()
+    bare = paths.without_suffix(F.col("target"))
+    climb = F.when(paths.parent_dir(F.col("source"), "") == "", F.lit("./")).otherwise(F.repeat(F.lit("../"), F.size(F.split(paths.parent_dir(F.col("source"), ""), "/"))))
+    ways = F.array(F.struct(F.lit("absolute").alias("way"), F.translate(bare, "/", ".").alias("module")), F.struct(F.lit("relative").alias("way"), F.concat(climb, bare).alias("module")))
+    written = edges.select("repo", F.col("source").alias("path"), "target", F.explode(ways).alias("w"))
+    imports = written.select("repo", "path", "w.module", F.array("w.way", "target").alias("names"), F.lit(1).alias("line"))
+    files = table(spark, d, "file_infos").select("repo", "path").where("path IS NOT NULL").distinct()
+    resolved = resolve.resolve_imports(files, imports).withColumn("way", F.col("names")[0])
+    return resolved.groupBy("repo", "way").agg(F.count(F.lit(1)).alias("imports"), F.count("target").alias("resolved"), F.count_if(F.col("target") == F.col("names")[1]).alias("led_back"))
+
+
 def import_edges(spark: SparkSession, d: str) -> DataFrame:
     return resolve.import_edges(_resolved(spark, d))
 
@@ -185,9 +202,13 @@ def extracted_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extraction_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Per language: recorded symbols, and those that a fresh extraction finds under the same name and kind."""
-    recorded = _files(spark, d, "symbols").select("file_id", paths.suffix(F.col("file_path")).alias("suffix"), F.explode("symbols").alias("s")).select("file_id", "suffix", "s.name", "s.kind").distinct()
-    fresh = extracted_symbols(spark, d).select(F.col("file_id").alias("x_id"), F.col("name").alias("x_name"), F.col("kind").alias("x_kind")).distinct()
+    """Per suffix: recorded symbols, and those that a fresh extraction finds under the same name and kind.
+
+    Functions and methods are one kind here: old extractors recorded the methods of some languages as functions.
+    """
+    kind = lambda c: F.when(F.col(c) == "method", "function").otherwise(F.col(c))
+    recorded = _files(spark, d, "symbols").select("file_id", paths.suffix(F.col("file_path")).alias("suffix"), F.explode("symbols").alias("s")).select("file_id", "suffix", "s.name", kind("s.kind").alias("kind")).distinct()
+    fresh = extracted_symbols(spark, d).select(F.col("file_id").alias("x_id"), F.col("name").alias("x_name"), kind("kind").alias("x_kind")).distinct()
     met = recorded.join(fresh, (F.col("file_id") == F.col("x_id")) & (F.col("name") == F.col("x_name")) & (F.col("kind") == F.col("x_kind")), "left")
     return met.groupBy("suffix").agg(F.count(F.lit(1)).alias("recorded"), F.count("x_id").alias("found"))
 
@@ -201,7 +222,7 @@ def incremental_scan(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        public_symbols, long_functions, symbol_kinds, import_counts, external_packages, import_resolution, import_edges, imported_calls, local_calls, rationale, tagged_comments, line_counts,
+        public_symbols, long_functions, symbol_kinds, import_counts, external_packages, import_resolution, declared_imports, import_edges, imported_calls, local_calls, rationale, tagged_comments, line_counts,
         cache_probe, cache_stats, scan_report, invalid_extractions, extracted_symbols, extracted_references, extraction_agreement, incremental_scan,
     )
 }
@@ -210,6 +231,25 @@ _FX = "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id OR
 _SX = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC NULLS LAST) AS nn FROM source_files) WHERE nn = 1)"
 _LANG = "CASE lower(trim(language)) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LANGUAGE_NAMES.items()) + " ELSE lower(trim(language)) END"
 _SUFFIX = r"lower(regexp_extract(list_last(string_split({0}, '/')), '^.+(\.[^.]+)$', 1))"
+_BARE = r"regexp_replace({0}, '^(.*[^/])\.[^./]+$', '\1')"
+_STEM = r"regexp_replace(list_last(string_split({0}, '/')), '^(.+)\.[^.]+$', '\1')"
+_DIRS = "list_filter(string_split(coalesce(nullif(regexp_extract({0}, '^(.*)/[^/]*$', 1), ''), ''), '/'), lambda x: x <> '')"
+#: Imports i (id, repo, path, module) resolved as r (id, target): by key, or by the path that a relative module means with each ending.
+_RESOLVED = rf"""kf AS (SELECT DISTINCT repo, path FROM file_infos WHERE path IS NOT NULL), kp AS (SELECT *, {_BARE.format('path')} AS bare, {_STEM.format('path')} AS stem, {_DIRS.format('path')} AS dirs FROM kf),
+    kr AS (SELECT DISTINCT repo, array_to_string(list_slice(dirs, 1, len(dirs) - 1), '/') AS root FROM kp WHERE stem = '__init__' AND len(dirs) > 1),
+    kk AS (SELECT repo, path, stem AS key FROM kp WHERE stem <> '__init__' UNION SELECT repo, path, list_last(dirs) FROM kp WHERE stem = '__init__' AND len(dirs) > 0 UNION SELECT repo, path, replace(bare, '/', '.') FROM kp UNION SELECT repo, path, bare FROM kp
+        UNION SELECT kp.repo, path, replace(regexp_replace(substr(bare, length(root) + 2), '/__init__$', ''), '/', '.') FROM kp JOIN kr ON kr.repo = kp.repo AND starts_with(kp.path, root || '/')),
+    ki AS (SELECT repo, key, CASE WHEN count(*) = 1 THEN min(path) END AS target FROM kk WHERE key <> '' AND (repo, key) NOT IN (SELECT (repo, path) FROM kf) GROUP BY ALL UNION ALL SELECT repo, path, path FROM kf),
+    rb AS (SELECT *, contains(module, '/') AS p, {_DIRS.format('path')} AS here FROM i WHERE starts_with(module, '.')),
+    ru AS (SELECT *, CASE WHEN p THEN length(regexp_extract(module, '^((?:\.\./)*)', 1)) // 3 ELSE length(regexp_extract(module, '^(\.*)', 1)) - 1 END AS ups,
+        CASE WHEN p THEN regexp_replace(regexp_replace(module, '^(\.\./)+', ''), '^\./', '') ELSE replace(regexp_replace(module, '^\.+', ''), '.', '/') END AS rest FROM rb),
+    rp AS (SELECT *, array_to_string(list_filter(list_concat(list_slice(here, 1, greatest(len(here) - ups, 0)), [rest]), lambda x: x <> ''), '/') AS base FROM ru),
+    rc AS (SELECT id, rp.repo, path, unnest({[(0 if x == '' else 1, x) for x in resolve.SUFFIXES] + [(2, x) for x in resolve.INDEX_FILES]}) AS e, base FROM rp),
+    rh AS (SELECT id, e[1] AS stage, base || e[2] AS hit, {_SUFFIX.format("base || e[2]")} = {_SUFFIX.format('rc.path')} AS same FROM rc JOIN kf ON kf.repo = rc.repo AND kf.path = base || e[2] WHERE base || e[2] <> rc.path),
+    rs AS (SELECT id, stage, count(DISTINCT hit) AS n, min(hit) AS one, min(hit) FILTER (same) AS own FROM rh GROUP BY ALL), rf AS (SELECT id, coalesce(arg_min(own, stage), CASE WHEN arg_min(n, stage) = 1 THEN arg_min(one, stage) END) AS target FROM
+        (SELECT * FROM rs WHERE stage = (SELECT min(stage) FROM rs x WHERE x.id = rs.id)) GROUP BY id),
+    r AS (SELECT i.id, CASE WHEN starts_with(i.module, '.') THEN rf.target WHEN ki.target <> i.path THEN ki.target END AS target FROM i LEFT JOIN rf ON rf.id = i.id LEFT JOIN ki ON ki.repo = i.repo AND ki.key = i.module)"""
+_I = f"""ii AS (SELECT DISTINCT repo, file_path AS path, x.module AS module, x.names AS names, x.line AS line FROM (SELECT repo, file_path, unnest(imports) AS x FROM f) WHERE x.module IS NOT NULL), i AS (SELECT row_number() OVER () AS id, * FROM ii)"""
 _CLEAN = r"replace(content, chr(13) || chr(10), chr(10))"
 
 SQL = {
@@ -223,6 +263,16 @@ SQL = {
     "external_packages": f"""WITH {_FX}, u AS (SELECT repo, unnest(imports) AS x FROM f), c AS (SELECT repo, string_split(x.module, '.')[1] AS package, count(*) AS imports FROM u WHERE string_split(x.module, '.')[1] <> '' GROUP BY ALL),
         k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY imports DESC, package) AS k FROM c), r AS (SELECT repo, package, imports, row_number() OVER (PARTITION BY repo ORDER BY imports DESC, package) AS rank
         FROM k WHERE k <= 15 AND package NOT IN ({', '.join(f"'{x}'" for x in STDLIB)})) SELECT * FROM r WHERE rank <= 10""",
+    "import_resolution": f"""WITH {_FX}, {_I}, {_RESOLVED} SELECT repo, CASE WHEN starts_with(module, '.') THEN 'relative' ELSE 'absolute' END AS way, count(*) AS imports, count(target) AS resolved FROM i JOIN r USING (id) GROUP BY ALL""",
+    "import_edges": f"""WITH {_FX}, {_I}, {_RESOLVED} SELECT repo, path AS source, target, 'imports' AS kind, module || CASE WHEN len(names) > 0 THEN ' (' || array_to_string(names, ', ') || ')' ELSE '' END AS detail, line FROM i JOIN r USING (id) WHERE target IS NOT NULL""",
+    "declared_imports": rf"""WITH {_E}, de AS (SELECT DISTINCT repo, source, target FROM e WHERE kind = 'imports' AND source <> target), dw AS (SELECT repo, source AS path, target AS goal, 'absolute' AS way, replace({_BARE.format('target')}, '/', '.') AS module FROM de
+        UNION ALL SELECT repo, source, target, 'relative', CASE WHEN contains(source, '/') THEN repeat('../', len(string_split(source, '/')) - 1) ELSE './' END || {_BARE.format('target')} FROM de),
+        i AS (SELECT row_number() OVER () AS id, * FROM dw), {_RESOLVED} SELECT repo, way, count(*) AS imports, count(target) AS resolved, count(*) FILTER (target = goal) AS led_back FROM i JOIN r USING (id) GROUP BY ALL""",
+    "imported_calls": f"""WITH {_FX}, {_I}, {_RESOLVED}, b AS (SELECT repo, path, unnest(names) AS name, line, target FROM i JOIN r USING (id) WHERE target IS NOT NULL),
+        l AS (SELECT repo, path, name, target FROM (SELECT *, row_number() OVER (PARTITION BY repo, path, name ORDER BY line DESC, target DESC) AS k FROM b WHERE name NOT IN ('*', '_')) WHERE k = 1),
+        c AS (SELECT repo, file_path AS path, unnest(call_edges) AS c FROM f), y AS (SELECT DISTINCT repo, file_path AS path, unnest(symbols).name AS name FROM f)
+        SELECT c.repo, c.path AS source, l.target, 'calls' AS kind, concat_ws(' → ', c.c.caller, c.c.callee) AS detail, c.c.line AS line, c.c.confidence AS confidence FROM c JOIN l ON l.repo = c.repo AND l.path = c.path AND l.name = c.c.callee
+        WHERE EXISTS (SELECT 1 FROM y WHERE y.repo = c.repo AND y.path = l.target AND y.name = c.c.callee)""",
     "local_calls": f"""WITH {_FX}, u AS (SELECT file_id, list_transform(symbols, lambda x: x.name) AS names, unnest(call_edges) AS c FROM f)
         SELECT file_id, count(*) FILTER (list_contains(names, c.callee)) AS local, count(*) FILTER (NOT coalesce(list_contains(names, c.callee), false)) AS other FROM u GROUP BY file_id""",
     "rationale": f"""WITH {_FX}, u AS (SELECT repo, file_path, symbols, unnest(rationale_comments) AS r FROM f),
