@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from structmill.functions.paths import normal_path, parent_dir
@@ -26,6 +26,17 @@ def edges_once(graph_edges: DataFrame, *columns: str) -> DataFrame:
     return latest(rows, "edge_id", [F.col("scanned_at")], keep)
 
 
+def path_id(path: Column) -> Column:
+    """A 64-bit number for a path, null for null: within one repository two paths practically never share it."""
+    return F.when(path.isNotNull(), F.xxhash64(path))
+
+
+def numbered_edges_once(graph_edges: DataFrame) -> DataFrame:
+    """As :func:`edges_once`, with repo and :func:`path_id` of both ends: half the bytes in every shuffle that follows."""
+    ends = [path_id(normal_path(F.col(c))).alias(c) for c in ("source", "target")]
+    return latest(graph_edges.select("edge_id", "repo", *ends, "scanned_at"), "edge_id", [F.col("scanned_at")], ["repo", "source", "target"])
+
+
 def degrees(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Per file the edges of any kind that start and end at it; 0 for files without edges. Ends that are no file are ignored."""
     out = edges.where(F.col("source").isNotNull()).groupBy(F.col("repo").alias("o_repo"), F.col("source").alias("o_path")).agg(F.count(F.lit(1)).alias("out_degree"))
@@ -39,7 +50,7 @@ def directory_pairs(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges counted by the directories of their ends, both of which must be known files.
 
     Edges are joined at their sources first, where no key is hot, then summed per source directory and target, so a
-    target that most edges point at meets its file once per directory and not once per edge.
+    target that most edges point at meets its file once per directory and not once per edge. Paths may be numbers.
     """
     known = files.select(F.col("repo").alias("k_repo"), F.col("path").alias("k_path"), F.col("directory").alias("k_dir"))
     at_source = edges.join(known, (F.col("repo") == F.col("k_repo")) & (F.col("source") == F.col("k_path"))).groupBy("repo", F.col("k_dir").alias("source_dir"), "target").agg(F.count(F.lit(1)).alias("n"))

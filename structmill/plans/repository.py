@@ -30,7 +30,9 @@ def _edges(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return graph.directory_pairs(_files(spark, d, "directory", "symbol_count"), _edges(spark, d))
+    files = _files(spark, d, "directory", "symbol_count").withColumn("path", graph.path_id(F.col("path")))
+    edges = graph.numbered_edges_once(table(spark, d, "graph_edges")).where(F.col("target").isNotNull())
+    return graph.directory_pairs(files, edges)
 
 
 def _profile(spark: SparkSession, d: str) -> DataFrame:
