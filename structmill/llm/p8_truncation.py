@@ -191,4 +191,50 @@ def p8_source_rates(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_source_rates": p8_source_rates}
-SQL: dict[str, str] = {}
+
+
+def _said(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _sql_tokens(paragraph: str) -> str:
+    plain = f"regexp_replace(regexp_replace(regexp_replace(lower({paragraph}), {_said(_TRAIL)}, ''), '`[^`\\n]+`', '`x`', 'g'), '[0-9]+(?:[.:][0-9]+)*', '0', 'g')"
+    return f"list_concat(['^', '^'], regexp_extract_all({plain}, {_said(_TOKEN)}))"
+
+
+def _sql_count(x: str, part: str) -> str:
+    return f"(length({x}) - length(replace({x}, '{part}', '')))"
+
+
+_FLAT = r"regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\s+$', '')"
+_CLOSED = " OR ".join(
+    f"regexp_matches(line, {_said(x)})"
+    for x in (
+        r"[.!?。！？؟][\"'»”’)\]*_`]*$", r"^-- ?\S", r"^<?https?://\S+>?$", r"^\[[^\]]+\]:\s+\S+\.\w+$", r"^!?\[[^\]]*\]\([^)]*\)$", r"^#{1,6} ", r"^\s*```\s*$", r"^\|",
+        r"^\s*(?:[-*+]|\d+[.)])\s+.*`$", r"^`[^`]+`$", r"[}\];>]$", r"^\S*[/\\]\S*\.\w+$",
+    )
+)
+_JUDGED = rf"""texts AS (SELECT DISTINCT {_FLAT} AS t FROM documents WHERE text IS NOT NULL), para AS (SELECT unnest(string_split_regex(t, '\n\s*\n')) AS p FROM texts), toks AS (SELECT {_sql_tokens('p')} AS w FROM para),
+    grams AS (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: struct_pack(ab := w[i] || ' ' || w[i + 1], c := w[i + 2], fin := i = len(w) - 2))) AS g FROM toks WHERE len(w) > 2),
+    counts AS (SELECT g.ab AS ab, g.c AS c, count(*) FILTER (NOT g.fin) AS inside, count(*) FILTER (g.fin) AS at_end FROM grams GROUP BY ALL),
+    shaped AS (SELECT doc_id, {_FLAT} AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), lasts AS (SELECT doc_id, len(regexp_extract_all(t, '(?m)^(\s*```)', 1)) % 2 = 1 AS fence, ends_with(t, chr(65533)) AS broken,
+        regexp_replace(t, '(?s)^.*\n\s*\n', '') AS p FROM shaped WHERE t <> ''),
+    parts AS (SELECT *, regexp_replace(p, '(?s)^.*\n', '') AS line, regexp_extract(p, '(?s)(?:^|\n)([^\n]*)\n[^\n]*$', 1) AS before, regexp_replace(p, '(?s)```.*?```', '', 'g') AS body,
+        {_sql_tokens("regexp_replace(p, chr(65533) || '+$', '')")} AS w FROM lasts),
+    ends AS (SELECT doc_id, fence, broken, {_sql_count('body', '`')} % 2 = 1 OR (starts_with(p, '(') AND {_sql_count('p', '(')} > {_sql_count('p', ')')}) OR (starts_with(p, '{{') AND {_sql_count('p', '{')} > {_sql_count('p', '}')})
+        OR (starts_with(line, '|') AND (NOT ends_with(line, '|') OR (starts_with(before, '|') AND {_sql_count('line', '|')} < {_sql_count('before', '|')}))) AS opened, regexp_matches(line, {_said(_TRAIL)}) AS dots, ends_with(line, ']') AS bracketed,
+        regexp_matches(line, ',\s*[\p{{L}}\p{{M}}_]+ ?(?:\.\.\.|…)$') AS listing, {_CLOSED} OR (starts_with(p, '(') AND ends_with(line, ')')) AS closed,
+        regexp_matches(p, '(?s)[.!?;:,]\s+\S') OR regexp_matches(p, '^\W*\p{{Lu}}\S*(?:\s+\S+){{2}}') AS prose, w[-3] || ' ' || w[-2] AS ab, w[-1] AS c FROM parts),
+    tails AS (SELECT DISTINCT ab, c FROM ends),
+    seen AS (SELECT t.ab, t.c, coalesce(sum(inside) FILTER (n.c = t.c), 0) AS inside, greatest(coalesce(sum(at_end) FILTER (n.c = t.c), 0) - 1, 0) AS at_end, coalesce(sum(inside + at_end) FILTER (n.c <> t.c AND starts_with(n.c, t.c)), 0) AS longer,
+        coalesce(sum(inside + at_end), 0) AS anything FROM tails t LEFT JOIN counts n ON n.ab = t.ab GROUP BY ALL),
+    whys AS (SELECT doc_id, CASE WHEN closed AND NOT dots AND NOT fence AND NOT opened AND NOT broken THEN NULL WHEN listing AND NOT bracketed AND NOT fence AND NOT opened AND inside + longer < {SELDOM} * anything + {LEAST_INSIDE} THEN NULL
+        WHEN inside >= {LEAST_INSIDE} AND at_end <= {MOST_AT_END} * inside THEN 'sentence' WHEN longer >= {LEAST_INSIDE} AND inside + at_end <= {MOST_AT_END} * longer THEN 'word' WHEN fence OR opened THEN 'block' WHEN broken THEN 'bytes'
+        WHEN dots AND bracketed THEN 'form' WHEN at_end > 0 THEN NULL WHEN dots OR prose THEN 'form' END AS why FROM ends JOIN seen USING (ab, c)),
+    cut_ids AS (SELECT doc_id FROM whys GROUP BY doc_id HAVING min(why) IS NOT NULL)"""
+
+SQL = {
+    "p8_found": f"WITH {_JUDGED} SELECT doc_id FROM cut_ids",
+    "p8_source_rates": rf"""WITH {_JUDGED}, once AS (SELECT doc_id, min(nullif(regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g'), '')) AS source FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)
+        SELECT source, count(*) AS documents, count(c.doc_id) AS truncated, count(c.doc_id) / count(*) AS rate FROM once LEFT JOIN cut_ids c USING (doc_id) GROUP BY source""",
+}

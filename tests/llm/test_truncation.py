@@ -43,3 +43,21 @@ def test_copies_do_not_vote_for_their_own_cut_end(spark):
     copies = [(2000 + 100 * k + i, "Unheard words stand here. " + t + "\r\n" * (i % 3), "wiki_export") for k, (t, _) in enumerate(ends) for i in range(40)]
     got = {r.doc_id: r.why for r in truncated(corpus(spark, copies)).collect()}
     assert [{got[2000 + 100 * k + i] for i in range(40)} for k in range(2)] == [{why} for _, why in ends]
+
+
+def test_equals_its_sql(spark):
+    import os
+
+    import pytest
+
+    from structmill.llm.p8_truncation import QUERIES, SQL
+
+    duckdb, data = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for name, sql in SQL.items():
+        result = db.execute(sql)
+        columns = [c[0] for c in result.description]
+        assert sorted(map(tuple, QUERIES[name](spark, data).select(*columns).collect()), key=repr) == sorted(map(tuple, result.fetchall()), key=repr)
