@@ -29,14 +29,18 @@ SELDOM = 0.08
 #: Letters of one token: longer runs of letters are several tokens, so a token has few prefixes.
 LONGEST = 48
 
-_TOKEN = rf"`[^`\n]*`|[0-9]+(?:[.:][0-9]+)*|[\p{{L}}\p{{M}}_]{{1,{LONGEST}}}|[^\s\p{{L}}\p{{M}}0-9_]"
+_TOKEN = rf"[a-z_\p{{L}}\p{{M}}]{{1,{LONGEST}}}|`[^`\n]*`|[0-9]+(?:[.:][0-9]+)*|[^\s\p{{L}}\p{{M}}0-9_]"
 _TRAIL = r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\.\.\.+|…)\s*$"
 
 
 def _tokens(paragraph: Column) -> Column:
     """Two start marks and the tokens; code spans and numbers are all alike; an ellipsis at the end is left out."""
-    plain = F.regexp_replace(F.lower(paragraph), _TRAIL, "")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"`[^`\n]+`", "`x`"), r"[0-9]+(?:[.:][0-9]+)*", "0")
+    lower = F.lower(paragraph)
+    end = F.rtrim(lower, F.lit(" \t\n\r\f\v"))
+    # most paragraphs need none of these: a look that costs little comes first
+    plain = F.when(end.endswith("...") | end.endswith("…") | end.endswith("]"), F.regexp_replace(lower, _TRAIL, "")).otherwise(lower)
+    plain = F.when(plain.contains("`"), F.regexp_replace(plain, r"`[^`\n]+`", "`x`")).otherwise(plain)
+    plain = F.regexp_replace(plain, r"[0-9]+(?:[.:][0-9]+)*", "0")
     return F.concat(F.array(F.lit("^"), F.lit("^")), F.regexp_extract_all(plain, F.lit(f"({_TOKEN})"), F.lit(1)))
 
 
@@ -55,11 +59,11 @@ def trigram_counts(documents: DataFrame) -> DataFrame:
 
 
 _COUNTS = """
-SELECT g.ab, g.c, count_if(NOT g.last) AS inside, count_if(g.last) AS at_end
+SELECT ab, c, count_if(NOT last) AS inside, count_if(last) AS at_end
 FROM (
-  SELECT explode(transform(sequence(0, size(w) - 3), i -> struct(concat_ws(' ', w[i], w[i + 1]) AS ab, w[i + 2] AS c, i = size(w) - 3 AS last))) AS g
-  FROM {tokens} WHERE size(w) > 2
-) GROUP BY g.ab, g.c"""
+  SELECT concat_ws(' ', g.`0`, g.`1`) AS ab, g.`2` AS c, at = n - 3 AS last
+  FROM (SELECT size(w) AS n, posexplode(arrays_zip(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), slice(w, 3, size(w) - 2))) AS (at, g) FROM {tokens} WHERE size(w) > 2)
+) GROUP BY ab, c"""
 
 #: Of each last trigram: its counts without its own ending, and those of all tokens that begin with its last one.
 _SEEN = """
