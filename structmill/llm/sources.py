@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def source_name(source: Column) -> Column:
-    """Plain lower-case form of a source: blanks and hyphens become underscores. Null and blank give null."""
-    name = F.regexp_replace(F.lower(F.trim(source)), r"[\s-]+", "_")
-    return F.when(name != "", name)
+from structmill.functions.text import source_name  # noqa: F401 - one spelling for all
 
 
 def language_name(lang: Column) -> Column:
