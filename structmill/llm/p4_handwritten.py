@@ -4,9 +4,10 @@ Each file is read once, where it lies, and leaves a few numbers and its winnowed
 projects are found across files alone: a file most of whose fingerprints recur in several repositories of different
 origin, whatever its folder or its notices say.
 
-A fingerprint that stands in many files costs few rows: every task sends the fingerprints of a class of exact copies
-for three repositories at most, which is all that matters for "three or more", so a file that everybody has copied is
-no hot key. One shuffle brings equal fingerprints together; only those that recur go on.
+Fingerprints travel without their repositories: every task sends those of a class of exact copies once, so a file that
+everybody has copied is no hot key. Where a class stands is counted apart, over all its files and whole origins, and
+comes down to its smallest and greatest origin and whether there are others: the union of these tells "three or more"
+exactly. One shuffle brings equal fingerprints together; only those that stand in several classes go on.
 """
 
 from __future__ import annotations
@@ -43,18 +44,14 @@ _SCHEMA = "file_id bigint, seen string, digest bigint, repo string, path string,
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sent: dict[int, set[str]] = {}  # repositories for which the fingerprints of a class have been sent
+    sent: set[int] = set()  # classes whose fingerprints have been sent
     for batch in batches:
         rows = []
         for file_id, repo, path, text, seen in zip(*(c.to_pylist() for c in batch.columns)):
             s = shape(text, language_of(path))
             copies = xxhash.xxh64_intdigest(s.fingerprints.tobytes()) - (1 << 63)
-            homes = sent.setdefault(copies, set())
-            prints = s.fingerprints
-            if repo in homes or len(homes) >= LEAST_REPOS:
-                prints = prints[:0]
-            else:
-                homes.add(repo)
+            prints = s.fingerprints[:0] if copies in sent else s.fingerprints
+            sent.add(copies)
             digest = xxhash.xxh64_intdigest(f"{repo}\0{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
             rows.append((file_id, seen, digest, repo, path, s.banner, s.compressed, s.data, s.runs, s.different_runs, copies, len(s.fingerprints), prints))
         columns = list(zip(*rows)) or [[]] * len(_COLUMNS)
@@ -64,7 +61,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_shapes(source_files: DataFrame) -> DataFrame:
-    """Every row's shape, the number ``copies`` that exact copies share, ``n`` fingerprints, and those to be sent (``prints``).
+    """Every row's shape, the number ``copies`` that exact copies share, ``n`` fingerprints, and themselves (``prints``) in the first row of a class in each task.
 
     A null repository is one without name. Rows without file_id or of unknown suffixes are left out.
     """
@@ -90,23 +87,31 @@ def origins_of_repos(files: DataFrame) -> DataFrame:
     return seen.select(F.xxhash64("o_repo").alias("o_who"), F.when(F.col("files") >= LEAST_TO_COMPARE, F.xxhash64("m1", "m2")).otherwise(F.xxhash64("o_repo")).alias("origin"))
 
 
-def _three(rows: DataFrame, who: str) -> DataFrame:
-    """The rows whose ``print`` stands with three or more different values of ``who``."""
+def homes_of_classes(read: DataFrame, files: DataFrame) -> DataFrame:
+    """Per class of exact copies: its smallest and greatest origin, and whether it has LEAST_REPOS or more. Every delivery counts."""
+    known = read.where("n > 0").select(F.col("copies").alias("h_copies"), F.xxhash64("repo").alias("who")).join(origins_of_repos(files), F.col("who") == F.col("o_who"))
+    each = known.select("h_copies", "origin").distinct()
+    return each.groupBy("h_copies").agg(F.min("origin").alias("lo"), F.max("origin").alias("hi"), (F.count(F.lit(1)) >= LEAST_REPOS).alias("wide"))
+
+
+def recurring_prints(read: DataFrame, homes: DataFrame) -> DataFrame:
+    """copies, print: the fingerprints, shared by several classes, that stand in three or more origins. Those of one class stand where it stands."""
     same = Window.partitionBy("print")
-    ends = rows.withColumn("__lo", F.min(who).over(same)).withColumn("__hi", F.max(who).over(same))
-    between: Column = (F.col(who) > F.col("__lo")) & (F.col(who) < F.col("__hi"))
-    return ends.withColumn("__third", F.max(between).over(same)).where("__third").drop("__lo", "__hi", "__third")
+    prints = read.select(F.explode("prints").alias("print"), "copies")
+    shared = prints.withColumn("__least", F.min("copies").over(same)).withColumn("__most", F.max("copies").over(same)).where("__least < __most").select("print", "copies")
+    ends = shared.join(homes, F.col("copies") == F.col("h_copies")).withColumn("__lo", F.min("lo").over(same)).withColumn("__hi", F.max("hi").over(same))
+    between: list[Column] = [(F.col(end) > F.col("__lo")) & (F.col(end) < F.col("__hi")) for end in ("lo", "hi")]
+    return ends.withColumn("__third", F.max(F.col("wide") | between[0] | between[1]).over(same)).where("__third").select("copies", "print").distinct()
 
 
 def copied_classes(read: DataFrame, files: DataFrame, share: float = COPIED_SHARE, least: int = LEAST_RECURRING) -> DataFrame:
     """The classes of exact copies that mostly consist of fingerprints found in three repositories of different origin."""
-    prints = read.select(F.explode("prints").alias("print"), "copies", F.xxhash64("repo").alias("who"))
-    recurring = _three(prints, "who")
-    unrelated = _three(recurring.join(origins_of_repos(files), F.col("who") == F.col("o_who")), "origin")
-    hits = unrelated.select("copies", "print").distinct().groupBy(F.col("copies").alias("c_copies")).agg(F.count(F.lit(1)).alias("hits"))
+    homes = homes_of_classes(read, files)
+    hits = recurring_prints(read, homes).groupBy(F.col("copies").alias("c_copies")).agg(F.count(F.lit(1)).alias("hits"))
     sizes = files.where("n > 0").select("copies", "n").distinct()
-    met = hits.join(sizes, F.col("c_copies") == F.col("copies"))
-    return met.where((F.col("hits") >= share * F.col("n")) & (F.col("hits") >= F.least(F.col("n"), F.lit(least)))).select("c_copies")
+    all_ = sizes.join(homes, F.col("copies") == F.col("h_copies")).join(hits, F.col("copies") == F.col("c_copies"), "left")
+    met = all_.select("copies", "n", F.when(F.col("wide"), F.col("n")).otherwise(F.coalesce("hits", F.lit(0))).alias("hits"))
+    return met.where((F.col("hits") >= share * F.col("n")) & (F.col("hits") >= F.least(F.col("n"), F.lit(least)))).select(F.col("copies").alias("c_copies"))
 
 
 def origins(source_files: DataFrame, profiles: DataFrame) -> DataFrame:

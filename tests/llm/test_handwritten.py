@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from structmill.llm.p4_handwritten import copied_classes, latest_shapes, origins, read_shapes
 from structmill.llm.shape import shape, winnowed
 
@@ -75,6 +77,42 @@ def test_a_copy_in_every_repository_is_no_hot_key(spark):
     assert read.where("size(prints) > 0").count() <= 3 * read.rdd.getNumPartitions() and copied_classes(read, latest_shapes(read)).count() == 1
 
 
+def in_one_task(spark, rows):
+    """The rows in the order of file_id in one partition, of so many that they aren't spread."""
+    return spark.createDataFrame(rows, FILES).repartition(spark.sparkContext.defaultParallelism, F.lit(1)).sortWithinPartitions("file_id")
+
+
+def test_forks_take_no_place_of_other_repositories(spark):
+    forks = [(100 * k + i, f"fork{k}", f"src/{i}.py", code(i), None) for k in range(5) for i in range(9)]
+    others = [(1000 + k, f"other{k}", "a.py", code(3), None) for k in range(2)]
+    for rows in (forks + others, forks + [(-file_id, *row) for file_id, *row in others], forks + others[:1]):
+        got = {r.file_id for r in origins(in_one_task(spark, rows), spark.createDataFrame([], PROFILES)).where("origin = 'copied'").collect()}
+        assert got == ({file_id for file_id, _, _, text, _ in rows if text == code(3)} if len(rows) == 47 else set())
+
+
+def test_classes_against_sets_of_origins(spark):
+    from random import Random
+
+    for seed in range(3):
+        random = Random(seed)
+        texts = [code(random.randrange(40), 4) + code(random.randrange(40), random.choice([1, 4])) for _ in range(40)]
+        placed = [(f"fork{k}", text) for k in range(4) for text in texts[:9]] + [(f"own{i % 12}", random.choice(texts)) for i in range(60)]
+        random.shuffle(placed)
+        rows = [(i, repo, f"{i}.py", text, None) for i, (repo, text) in enumerate(placed)]
+        stands = {}
+        for repo, text in placed:
+            for p in shape(text, "python").fingerprints.tolist():
+                stands.setdefault(p, set()).add("fork" if repo.startswith("fork") else repo)
+        want = set()
+        for file_id, _, _, text, _ in rows:
+            prints = shape(text, "python").fingerprints.tolist()
+            hits = sum(len(stands[p]) >= 3 for p in prints)
+            if hits >= 0.4 * len(prints) and hits >= min(3, len(prints)):
+                want.add(file_id)
+        got = {r.file_id for r in origins(in_one_task(spark, rows), spark.createDataFrame([], PROFILES)).where("origin = 'copied'").collect()}
+        assert got == want and 0 < len(want) < len(rows)
+
+
 def test_data_below_a_long_header(spark):
     licence = "# Permission is hereby granted, free of charge, to any person who has a copy of this table.\n" * 60
     assert len(licence) > 4000 and shape(licence + DATA, "python").data and not shape(licence + DATA + code(1), "python").data
